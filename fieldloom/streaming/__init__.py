@@ -1,0 +1 @@
+"""No stream is part of the workload: every input is a finished table or file list."""
