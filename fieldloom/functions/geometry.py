@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # WGS 84 ellipsoid and the UTM zone of the region (36 south); fixed values.
 SEMI_MAJOR = 6378137.0
@@ -72,7 +72,10 @@ def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
 POINT_HEX_LENGTH = 42
 
 
-@F.pandas_udf("struct<x double, y double>")
+XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+
+@F.pandas_udf(XY)
 def point_from_hex(texts: pd.Series) -> pd.DataFrame:
     """Little-endian WKB point in hex to x and y; anything else gives nulls."""
     good = texts.fillna("").str.fullmatch(r"0101000000[0-9A-Fa-f]{32}")
@@ -84,7 +87,7 @@ def point_from_hex(texts: pd.Series) -> pd.DataFrame:
     return frame.where(good, None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def point_to_hex(xs: pd.Series, ys: pd.Series) -> pd.Series:
     """x and y to a little-endian WKB point in upper-case hex."""
     pairs = np.column_stack([xs.to_numpy("<f8"), ys.to_numpy("<f8")])
@@ -167,8 +170,3 @@ def square_grid(bounds: DataFrame, side: float, pad: float = 20) -> DataFrame:
 
 
 BOUNDS = ["min_x", "min_y", "max_x", "max_y"]
-
-
-def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Skip the empty batches of a partition."""
-    return (f for f in frames if len(f))

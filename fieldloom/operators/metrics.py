@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators.scale import add_slice, running_before, slice_bounds
+from fieldloom.operators.scale import add_slice, pin_small, running_before, slice_bounds
 
 
 def pair_counts(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
@@ -133,7 +133,7 @@ def histogram(
         placed = rows
     elif by:
         ends = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        placed, low, high = rows.join(ends, by), F.col("_lo"), F.col("_hi")
+        placed, low, high = rows.join(pin_small(ends)[0], by), F.col("_lo"), F.col("_hi")
     else:
         ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
         low, high = ends.select("_lo").scalar(), ends.select("_hi").scalar()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.draws import draw, draw_slice, uniform
-from fieldloom.operators.scale import number_rows
+from fieldloom.operators.scale import number_rows, pin_small
 
 
 def _slices(df: DataFrame) -> int:
@@ -128,7 +128,7 @@ def shuffle_split(df: DataFrame, label: str, key: str, share: float = 0.2, seed:
     numbered = number_rows(sliced, [label], ["_slice"], [F.col("_draw"), F.col(key)], "_nth")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     return (
-        numbered.join(sizes, label)
+        numbered.join(pin_small(sizes)[0], label)
         .withColumn("is_test", F.col("_nth") <= F.round(F.col("_size") * share))
         .drop("_draw", "_slice", "_nth", "_size")
     )

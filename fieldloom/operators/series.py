@@ -111,7 +111,10 @@ def with_series_columns(
         "*",
         F.lag("x").over(order).alias("prev"),
         *[F.lead("x", lag).over(order).alias(f"ahead_{lag}") for lag in sorted(lags)],
-        F.avg("x").over(whole).alias("mu"),
+        # a mean lies between the extremes; rounding must not lift it off a constant series
+        F.least(
+            F.greatest(F.avg("x").over(whole), F.min("x").over(whole)), F.max("x").over(whole)
+        ).alias("mu"),
         F.stddev_pop("x").over(whole).alias("sigma"),
         F.row_number().over(order).alias("_nth"),
     )
