@@ -27,7 +27,7 @@ def point_pixel_join(
 
 
 def disc_pixels(points: DataFrame, key: str, radius: str, x0: float, y0: float, size: float) -> DataFrame:
-    """Every cell touched by a point's disc, as rows (key, row, col)."""
+    """Every cell a point's disc reaches into, as rows (key, row, col)."""
     r = F.col(radius)
     first_row, first_col = pixel_of(F.col("x") - r, F.col("y") + r, x0, y0, size)
     last_row, last_col = pixel_of(F.col("x") + r, F.col("y") - r, x0, y0, size)
@@ -44,7 +44,7 @@ def disc_pixels(points: DataFrame, key: str, radius: str, x0: float, y0: float,
     left = F.lit(x0) + F.col("col") * size
     near_x = F.least(F.greatest(F.col("x"), left), left + size)
     dx = near_x - F.col("x")
-    return cells.where(dx * dx + F.col("_dy") * F.col("_dy") <= F.col("_r") * F.col("_r")).select(key, "row", "col")
+    return cells.where(dx * dx + F.col("_dy") * F.col("_dy") < F.col("_r") * F.col("_r")).select(key, "row", "col")
 
 
 def disc_pixel_join(

@@ -3,6 +3,7 @@
 from fieldloom.plans import (  # noqa: F401
     expression_queries,
     grid_queries,
+    learning_queries,
     series_queries,
     table_queries,
 )

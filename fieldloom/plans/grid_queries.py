@@ -42,7 +42,7 @@ def point_pixel_join(t: Tables) -> DataFrame:
     "disc_pixel_join",
     """SELECT p.id, g."row", g.col, round(g.value, 6) AS value FROM v_sized p JOIN v_px g
        ON power(least(greatest(p.x, g.col * 10), g.col * 10 + 10) - p.x, 2)
-        + power(least(greatest(p.y, 1000 - (g."row" + 1) * 10), 1000 - g."row" * 10) - p.y, 2) <= p.r * p.r""",
+        + power(least(greatest(p.y, 1000 - (g."row" + 1) * 10), 1000 - g."row" * 10) - p.y, 2) < p.r * p.r""",
 )
 def disc_pixel_join(t: Tables) -> DataFrame:
     return R.disc_pixel_join(_sized(t), V.pixels(t), "id", "r", *WHERE)

@@ -343,7 +343,7 @@ _TOP = """SELECT 'feature_' || lpad(CAST(feature AS VARCHAR), 2, '0') AS name, {
 
 @query(
     "top_features",
-    f"SELECT name, round(importance, 6) AS importance FROM ({_TOP.format('mean_imp')}) WHERE name NOT LIKE '%_1%'",
+    f"SELECT name, round(importance, 6) AS importance FROM ({_TOP.format('mean_imp')}) WHERE NOT contains(name, '_1')",
 )
 def top_features(t: Tables) -> DataFrame:
     return T.top_features(_named(t, "mean"), "name", "importance", 30, without=["_1"])

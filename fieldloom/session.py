@@ -25,13 +25,11 @@ def get_spark(app: str = "fieldloom", master: str | None = None, **conf) -> Spar
     return spark
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only a local master
-    (tests) may fall back to a temporary folder of this machine.
+    Only a local master (tests) may fall back to a temporary folder of this machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,4 +38,10 @@ def reliable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="fieldloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
