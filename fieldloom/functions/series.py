@@ -15,12 +15,22 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
-    """Names of the columns a builder may read; one row per slot with a value."""
+    """Names of the columns a builder may read; one row per slot with a value.
+
+    ``rank`` counts the values in ascending order from 0, ``n`` is their number.
+    Order statistics and positions are read through them with plain ``max`` and
+    ``min``, so that the whole aggregation stays in generated code.
+    """
 
     x: str = "x"
     t: str = "t"
     doy: str = "doy"
     mean: str = "mu"
+    top: str = "top"
+    low: str = "low"
+    sigma: str = "sigma"
+    rank: str = "rank"
+    n: str = "n"
     prev: str = "prev"
     run_above: str = "run_above"
     run_below: str = "run_below"
@@ -30,11 +40,16 @@ class Series:
 S = Series()
 Builder = Callable[..., Column]
 REGISTRY: dict[str, Builder] = {}
+# columns a function reads beyond x, t, doy and the mean
+READS: dict[str, set[str]] = {}
+
 
+def register(name: str, *reads: str) -> Callable[[Builder], Builder]:
+    """Add a statistic; ``reads`` names the extra series columns it needs."""
 
-def register(name: str) -> Callable[[Builder], Builder]:
     def keep(builder: Builder) -> Builder:
         REGISTRY[name] = builder
+        READS[name] = set(reads)
         return builder
 
     return keep
@@ -52,58 +67,96 @@ def _n() -> Column:
     return F.count(S.x)
 
 
+def _off() -> Column:
+    return _c(S.x) - _c(S.mean)
+
+
+def _step() -> Column:
+    return _c(S.x) - _c(S.prev)
+
+
+def _moment(k: int) -> Column:
+    """Sum of the k-th powers of the deviations."""
+    out = _off()
+    for _ in range(k - 1):
+        out = out * _off()
+    return F.sum(out)
+
+
+def _variance() -> Column:
+    return _moment(2) / _n()
+
+
 def _count_if(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-REGISTRY.update(
-    {
-        "abs_energy": lambda: F.sum(_c(S.x) * _c(S.x)),
-        # the change functions of a one-value series: no change at all, or unknown
-        "absolute_sum_of_changes": lambda: F.coalesce(F.sum(F.abs(_c(S.x) - _c(S.prev))), F.lit(0.0)),
-        "count_above_mean": lambda: _count_if(_c(S.x) > _c(S.mean)),
-        "count_below_mean": lambda: _count_if(_c(S.x) < _c(S.mean)),
-        "doy_of_maximum": lambda: F.min_by(S.doy, F.struct(-_c(S.x), _c(S.t))),
-        "doy_of_minimum": lambda: F.min_by(S.doy, F.struct(_c(S.x), _c(S.t))),
-        "kurtosis": lambda: F.kurtosis(S.x),
-        "longest_strike_above_mean": lambda: F.max(S.run_above),
-        "longest_strike_below_mean": lambda: F.max(S.run_below),
-        "maximum": lambda: F.max(S.x),
-        "mean": lambda: F.avg(S.x),
-        "mean_abs_change": lambda: F.avg(F.abs(_c(S.x) - _c(S.prev))),
-        "mean_change": lambda: F.avg(_c(S.x) - _c(S.prev)),
-        "median": lambda: F.median(S.x),
-        "minimum": lambda: F.min(S.x),
-        "standard_deviation": lambda: F.stddev_pop(S.x),
-        "sum": lambda: F.sum(S.x),
-        "ts_complexity_cid_ce": lambda: F.sqrt(
-            F.coalesce(F.sum((_c(S.x) - _c(S.prev)) * (_c(S.x) - _c(S.prev))), F.lit(0.0))
-        ),
-        "variance": lambda: F.var_pop(S.x),
-        "variance_larger_than_standard_deviation": lambda: F.var_pop(S.x) > F.stddev_pop(S.x),
-    }
-)
+def _at_rank(q: float) -> Column:
+    """Linear-interpolated quantile from the ranked values."""
+    place = F.lit(q) * (_c(S.n) - 1)
+    low = F.max(F.when(_c(S.rank) == F.floor(place), _c(S.x)))
+    high = F.max(F.when(_c(S.rank) == F.ceil(place), _c(S.x)))
+    at = F.lit(q) * (_n() - 1)
+    return low + (high - low) * (at - F.floor(at))
+
+
+def _doy_of(extreme: str) -> Column:
+    """Day of year of the first slot holding the extreme; slot and day packed in one number."""
+    packed = _c(S.t).cast("bigint") * 1000 + _c(S.doy)
+    return F.pmod(F.min(F.when(_c(S.x) == _c(extreme), packed)), F.lit(1000)).cast("int")
+
+
+def _plain(name: str, *reads: str):
+    def keep(build_column: Callable[[], Column]) -> None:
+        register(name, *reads)(build_column)
+
+    return keep
 
 
-@register("autocorr")
+_plain("abs_energy")(lambda: F.sum(_c(S.x) * _c(S.x)))
+# a series of one value has no change at all
+_plain("absolute_sum_of_changes", "prev")(lambda: F.coalesce(F.sum(F.abs(_step())), F.lit(0.0)))
+_plain("count_above_mean")(lambda: _count_if(_c(S.x) > _c(S.mean)))
+_plain("count_below_mean")(lambda: _count_if(_c(S.x) < _c(S.mean)))
+_plain("doy_of_maximum", "top")(lambda: _doy_of(S.top))
+_plain("doy_of_minimum", "low")(lambda: _doy_of(S.low))
+_plain("kurtosis")(
+    lambda: F.when(_moment(2) > 0, _moment(4) * _n() / (_moment(2) * _moment(2)) - 3)
+)
+_plain("longest_strike_above_mean", "run_above")(lambda: F.max(S.run_above))
+_plain("longest_strike_below_mean", "run_below")(lambda: F.max(S.run_below))
+_plain("maximum")(lambda: F.max(S.x))
+_plain("mean")(lambda: F.avg(S.x))
+_plain("mean_abs_change", "prev")(lambda: F.avg(F.abs(_step())))
+_plain("mean_change", "prev")(lambda: F.avg(_step()))
+_plain("median", "rank")(lambda: _at_rank(0.5))
+_plain("minimum")(lambda: F.min(S.x))
+_plain("standard_deviation")(lambda: F.sqrt(_variance()))
+_plain("sum")(lambda: F.sum(S.x))
+_plain("ts_complexity_cid_ce", "prev")(lambda: F.sqrt(F.coalesce(F.sum(_step() * _step()), F.lit(0.0))))
+_plain("variance")(_variance)
+_plain("variance_larger_than_standard_deviation")(lambda: _variance() > F.sqrt(_variance()))
+
+
+@register("autocorr", "lag")
 def _autocorr(lag: int) -> Column:
-    products = F.sum((_c(S.x) - _c(S.mean)) * (_c(S.ahead(lag)) - _c(S.mean)))
+    products = F.sum(_off() * (_c(S.ahead(lag)) - _c(S.mean)))
     return F.when(
-        (F.var_pop(S.x) > 0) & (_n() > lag), F.try_divide(products, (_n() - lag) * F.var_pop(S.x))
+        (_moment(2) > 0) & (_n() > lag), F.try_divide(products, (_n() - lag) * _variance())
     )
 
 
 @register("large_standard_deviation")
 def _large_sd(r: float) -> Column:
-    return F.stddev_pop(S.x) > F.lit(r) * _spread()
+    return F.sqrt(_variance()) > F.lit(r) * _spread()
 
 
-@register("symmetry_looking")
+@register("symmetry_looking", "rank")
 def _symmetry(r: float) -> Column:
-    return F.abs(F.avg(S.x) - F.median(S.x)) < F.lit(r) * _spread()
+    return F.abs(F.avg(S.x) - _at_rank(0.5)) < F.lit(r) * _spread()
 
 
-@register("mean_second_derivative_central")
+@register("mean_second_derivative_central", "bend")
 def _second_derivative(as_printed: bool = False) -> Column:
     bend = F.avg((_c(S.ahead(2)) - 2 * _c(S.ahead(1)) + _c(S.x)) / 2)
     return bend / 2 if as_printed else bend
@@ -111,31 +164,36 @@ def _second_derivative(as_printed: bool = False) -> Column:
 
 @register("ols_slope_intercept")
 def _trend(returns: str) -> Column:
-    whole = _n() > 1
+    mid = F.sum(S.t) / _n()
+    time = F.sum(_c(S.t) * _c(S.t)) - F.sum(S.t) * mid
+    both = F.sum(_off() * _c(S.t))
+    slope = F.try_divide(both, time)
     if returns == "slope":
-        return F.when(whole, F.regr_slope(S.x, S.t))
+        return slope
     if returns == "intercept":
-        return F.when(whole, F.regr_intercept(S.x, S.t))
+        return F.avg(S.x) - slope * mid
     if returns == "rsquared":
-        return F.when(whole & (F.var_pop(S.x) > 0), F.regr_r2(S.x, S.t))
+        return F.try_divide(both * both, time * _moment(2))
     raise ValueError(f"returns must be slope, intercept or rsquared, not {returns}")
 
 
-@register("quantile")
+@register("quantile", "rank")
 def _quantile(q: float) -> Column:
-    return F.percentile(S.x, F.lit(q))
+    return _at_rank(q)
 
 
-@register("ratio_beyond_r_sigma")
+@register("ratio_beyond_r_sigma", "sigma")
 def _beyond(r: float) -> Column:
-    # σ is a window column next to the mean, see operators.series
-    return F.avg(F.when(F.abs(_c(S.x) - _c(S.mean)) > F.lit(r) * _c("sigma"), 1.0).otherwise(0.0))
+    return F.avg(F.when(F.abs(_off()) > F.lit(r) * _c(S.sigma), 1.0).otherwise(0.0))
 
 
 @register("skewness")
 def _skewness() -> Column:
     n = _n().cast("double")
-    return F.when((n > 2) & (F.var_pop(S.x) > 0), F.skewness(S.x) * F.sqrt(n * (n - 1)) / (n - 2))
+    sample_sd = F.sqrt(_moment(2) / (n - 1))
+    return F.when(
+        (n > 2) & (_moment(2) > 0), n * _moment(3) / ((n - 1) * (n - 2) * sample_sd * sample_sd * sample_sd)
+    )
 
 
 # The statistics the workflow computes for each band, in its order; fixed values.

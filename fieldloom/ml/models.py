@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
@@ -79,7 +80,7 @@ def training_table(
     return rows, codes
 
 
-def in_threads(jobs: Sequence[Callable], parallelism: int = 4) -> list:
+def in_threads(jobs: Sequence[Callable], parallelism: int = 8) -> list:
     """Submit Spark jobs from a few driver threads; the work runs in tasks."""
     if len(jobs) == 1 or parallelism == 1:
         return [job() for job in jobs]
@@ -90,7 +91,7 @@ def in_threads(jobs: Sequence[Callable], parallelism: int = 4) -> list:
         pool.close()
 
 
-def held_out(rows: DataFrame, make: Callable[[], Estimator], folds: int, fold: str, keep: Sequence[str], parallelism: int = 4) -> DataFrame:
+def held_out(rows: DataFrame, make: Callable[[], Estimator], folds: int, fold: str, keep: Sequence[str], parallelism: int = 8) -> DataFrame:
     """Predictions of each fold by a model fitted on the others."""
 
     def one(i: int) -> Callable[[], DataFrame]:
@@ -117,7 +118,7 @@ def oos_scores(rows: DataFrame, make: Callable[[], Estimator], key: str, label:
 
 
 def uncertainty_rounds(
-    rows: DataFrame, make: Callable[[int], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 4
+    rows: DataFrame, make: Callable[[int], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 8
 ) -> DataFrame:
     """Each row predicted once per round; modal prediction and share of matches."""
 
@@ -134,7 +135,7 @@ def uncertainty_rounds(
 
 
 def kmeans_coassign(
-    df: DataFrame, label: str, columns: Sequence[str], seeds: Iterable[int] = range(30), parallelism: int = 4
+    df: DataFrame, label: str, columns: Sequence[str], seeds: Iterable[int] = range(30), parallelism: int = 8
 ) -> DataFrame:
     """Classes sharing their most frequent cluster, counted over the seeds."""
     scaled = standardize(impute_mean(df, columns), columns)
@@ -205,29 +206,51 @@ def random_search(
     folds: int = 3,
     seed: int = 42,
     weight: str | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Trials (number, value, classifier, params); the value is the mean fold score."""
-    if scoring not in SCORERS:
-        raise ValueError(f"scoring must be one of {sorted(SCORERS)}")
     space = space or SEARCH_SPACE
-    folded = reliable(group_folds(rows, group, label, folds, seed))
     rng = random.Random(seed)
     drawn = []
-    for number in range(n_trials):
+    for _ in range(n_trials):
         name = rng.choice(list(classifiers))
-        drawn.append((number, name, draw_params(space[name], rng)))
+        drawn.append((name, draw_params(space[name], rng)))
+    return run_trials(rows, key, label, group, drawn, scoring, folds, seed, weight, parallelism)
+
+
+def grid_search(rows: DataFrame, key: str, label: str, group: str, name: str, grid: Mapping[str, Sequence], **options) -> DataFrame:
+    """Trials for every combination of the listed values."""
+    drawn = [(name, dict(zip(grid, values))) for values in itertools.product(*grid.values())]
+    return run_trials(rows, key, label, group, drawn, **options)
+
+
+def run_trials(
+    rows: DataFrame,
+    key: str,
+    label: str,
+    group: str,
+    drawn: Sequence[tuple[str, Mapping]],
+    scoring: str = "kappa",
+    folds: int = 3,
+    seed: int = 42,
+    weight: str | None = None,
+    parallelism: int = 8,
+) -> DataFrame:
+    """Mean fold score of each (classifier, parameters)."""
+    if scoring not in SCORERS:
+        raise ValueError(f"scoring must be one of {sorted(SCORERS)}")
+    folded = reliable(group_folds(rows, group, label, folds, seed))
 
-    def one(number: int, name: str, params: dict) -> Callable[[], tuple]:
+    def one(number: int, name: str, params: Mapping) -> Callable[[], tuple]:
         def run() -> tuple:
-            shown = {("C" if k == "c" else k): v for k, v in params.items()}
-            out = held_out(folded, lambda: classifier(name, shown, seed, weight), folds, "fold", [key], parallelism=1)
+            named = {("C" if k == "c" else k): v for k, v in params.items()}
+            out = held_out(folded, lambda: classifier(name, named, seed, weight), folds, "fold", [key], parallelism=1)
             value = SCORERS[scoring](fold_scores(out, "lc", "prediction")).first()[0]
             return number, value, name, {f"{PREFIX[name]}_{k}": str(v) for k, v in params.items()}
 
         return run
 
-    results = in_threads([one(*d) for d in drawn], parallelism)
+    results = in_threads([one(i, *d) for i, d in enumerate(drawn)], parallelism)
     return rows.sparkSession.createDataFrame(
         results, "number int, value double, classifier string, params map<string,string>"
     )

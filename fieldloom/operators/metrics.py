@@ -64,11 +64,14 @@ def _sides(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fold_scores(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ("fold",)) -> DataFrame:
-    """Accuracy, balanced accuracy, kappa, F1 micro, macro recall and precision, MCC per fold."""
+    """Accuracy, balanced accuracy, kappa, F1, macro recall and precision, MCC and AUC per fold."""
     by = list(by)
     sides = _sides(pair_counts(df, actual, pred, by), by)
+    # labels x folds from here on
+    sides = sides.withColumn("_rows", F.sum("row").over(Window.partitionBy(*by)))
     recall = F.try_divide(F.col("hit"), F.col("row"))
     precision = F.try_divide(F.col("hit"), F.col("col"))
+    true_negative_rate = 1 - F.try_divide(F.col("col") - F.col("hit"), F.col("_rows") - F.col("row"))
     sums = sides.groupBy(*by).agg(
         F.sum("row").cast("double").alias("_n"),
         F.sum("hit").cast("double").alias("_hits"),
@@ -76,6 +79,7 @@ def fold_scores(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ("fol
         F.sum(F.col("row").cast("double") * F.col("row")).alias("_rows2"),
         F.sum(F.col("col").cast("double") * F.col("col")).alias("_cols2"),
         F.avg(recall).alias("balanced_accuracy"),
+        F.avg((recall + true_negative_rate) / 2).alias("roc_auc"),
         F.avg(F.coalesce(recall, F.lit(0.0))).alias("recall_macro"),
         F.avg(F.coalesce(precision, F.lit(0.0))).alias("precision_macro"),
     )
@@ -92,10 +96,12 @@ def fold_scores(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ("fol
         "recall_macro",
         "precision_macro",
         F.coalesce(F.try_divide(hits * n - cross, spread), F.lit(0.0)).alias("mcc"),
+        # one class against the rest on hard labels, averaged over the classes present
+        "roc_auc",
     )
 
 
-SCORES = ["accuracy", "balanced_accuracy", "kappa", "f1_micro", "recall_macro", "precision_macro", "mcc"]
+SCORES = ["accuracy", "balanced_accuracy", "kappa", "f1_micro", "recall_macro", "precision_macro", "mcc", "roc_auc"]
 
 
 def mean_scores(per_fold: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -190,6 +196,7 @@ SCORERS: dict[str, Callable[[DataFrame], DataFrame]] = {
         "balanced_accuracy": "balanced_accuracy",
         "balanced": "balanced_accuracy",
         "kappa": "kappa",
+        "roc_auc": "roc_auc",
         "matthews_corrcoef": "mcc",
     }.items()
 }

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.series import DEFAULT_FEATURES, build
+from fieldloom.functions.series import DEFAULT_FEATURES, READS, build
 from fieldloom.operators.scale import group_median
 
 INT16 = (-32768, 32767)
@@ -96,31 +96,41 @@ def interpolate(grid: DataFrame, keys: Sequence[str], value: str, pos: str = "po
 def with_series_columns(
     series: DataFrame, keys: Sequence[str], slot: str, value: str, pos: str, features: list
 ) -> DataFrame:
-    """Neighbours, mean and run lengths as columns; only those the features read."""
-    names = {f for f, _ in features}
-    lags = {p["lag"] for f, p in features if f == "autocorr"}
-    if "mean_second_derivative_central" in names:
+    """Neighbours, mean, ranks and run lengths as columns; only those the features read."""
+    reads = set().union(*[READS[f] for f, _ in features])
+    lags = {p["lag"] for f, p in features if "lag" in READS[f]}
+    if "bend" in reads:
         lags |= {1, 2}
     order = Window.partitionBy(*keys).orderBy("t")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    base = series.where(F.col(value).isNotNull()).select(
+    rows = series.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).alias("x"), F.col(pos).alias("t"), F.dayofyear(slot).alias("doy")
     )
-    out = base.select(
+    if "rank" in reads:
+        by_value = Window.partitionBy(*keys).orderBy("x")
+        everything = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = rows.select(
+            "*", (F.row_number().over(by_value) - 1).alias("rank"), F.count("x").over(everything).alias("n")
+        )
+    low, top = F.min("x").over(whole), F.max("x").over(whole)
+    extra = {
+        "prev": F.lag("x").over(order),
+        "top": top,
+        "low": low,
+        "sigma": F.stddev_pop("x").over(whole),
+    }
+    out = rows.select(
         "*",
-        F.lag("x").over(order).alias("prev"),
-        *[F.lead("x", lag).over(order).alias(f"ahead_{lag}") for lag in sorted(lags)],
         # a mean lies between the extremes; rounding must not lift it off a constant series
-        F.least(
-            F.greatest(F.avg("x").over(whole), F.min("x").over(whole)), F.max("x").over(whole)
-        ).alias("mu"),
-        F.stddev_pop("x").over(whole).alias("sigma"),
+        F.least(F.greatest(F.avg("x").over(whole), low), top).alias("mu"),
         F.row_number().over(order).alias("_nth"),
+        *[F.lead("x", lag).over(order).alias(f"ahead_{lag}") for lag in sorted(lags)],
+        *[c.alias(name) for name, c in extra.items() if name in reads],
     )
     runs = []
     for side, broken in (("above", F.col("x") <= F.col("mu")), ("below", F.col("x") >= F.col("mu"))):
-        if f"longest_strike_{side}_mean" in names:
+        if f"run_{side}" in reads:
             stop = F.last(F.when(broken, F.col("_nth")), ignorenulls=True).over(so_far)
             runs.append((F.col("_nth") - F.coalesce(stop, F.lit(0))).alias(f"run_{side}"))
     return out.select("*", *runs)

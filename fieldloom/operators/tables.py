@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.scale import add_slice, number_rows, pin_small, slice_bounds
+from fieldloom.session import reliable
 
 # --- counts and shares ------------------------------------------------------
 
@@ -82,7 +83,12 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     """
     keys = list(keys)
     if not unique:
-        return reduce(lambda a, b: _outer_null_safe(a, b, keys), tables)
+        merged = tables[0]
+        for i, table in enumerate(tables[1:], start=2):
+            merged = full_outer(merged, table, keys)
+            if i < len(tables):
+                merged = reliable(merged)
+        return merged
     values = [[c for c in t.columns if c not in keys] for t in tables]
     tagged = [t.withColumn("_band", F.lit(i)) for i, t in enumerate(tables)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
@@ -96,15 +102,27 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     return merged.where(F.when(F.col("_twice"), refused.cast("boolean")).otherwise(True)).drop("_twice")
 
 
-def _outer_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join on null-safe keys, in three parts that can each be split.
+
+    A full outer join cannot be split on a hot key at run time; an inner join can,
+    and so can an anti join against the other side's distinct keys.
+    """
+    keys = list(keys)
     l, r = left.alias("l"), right.alias("r")
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-    joined = l.join(r, same, "full_outer")
-    return joined.select(
-        *[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in keys],
-        *[F.col(f"l.`{c}`") for c in left.columns if c not in keys],
-        *[F.col(f"r.`{c}`") for c in right.columns if c not in keys],
+
+    def same(a: str, b: str) -> Column:
+        return reduce(lambda p, q: p & q, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys])
+
+    rest = {side: [c for c in df.columns if c not in keys] for side, df in (("l", left), ("r", right))}
+    both = l.join(r, same("l", "r")).select(
+        *[F.col(f"l.`{k}`") for k in keys],
+        *[F.col(f"{side}.`{c}`") for side, cs in rest.items() for c in cs],
     )
+    known = {"l": left.select(*keys).distinct().alias("k"), "r": right.select(*keys).distinct().alias("k")}
+    only_left = l.join(known["r"], same("l", "k"), "left_anti")
+    only_right = r.join(known["l"], same("r", "k"), "left_anti")
+    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
 
 
 def join_first_match(
@@ -142,7 +160,7 @@ def point_union(layers: Sequence[tuple[str, DataFrame]]) -> DataFrame:
         named = layer.select(
             "x", "y", *[F.col(f"`{c}`").alias(f"{c}_{suffix}") for c in layer.columns if c not in ("x", "y")]
         )
-        out = named if out is None else out.join(named, ["x", "y"], "full_outer")
+        out = named if out is None else full_outer(out, named, ["x", "y"])
     return out
 
 
@@ -196,7 +214,8 @@ def substring_join(
     if first is not None:
         order = Window.partitionBy(name).orderBy(path)
         hits = hits.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= first).drop("_nth")
-    return names.join(hits, name, "left")
+    missing = names.join(hits.select(name).distinct(), name, "left_anti")
+    return hits.unionByName(missing, allowMissingColumns=True)
 
 
 def best_trial(trials: DataFrame, value: str, tie: str, by: str | None = None) -> DataFrame:

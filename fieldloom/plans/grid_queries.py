@@ -203,11 +203,24 @@ def mask_morphology(t: Tables) -> DataFrame:
     return R.dilate(shrunk, ["tile"], "flag", 2, "dilated").select("row", "col", "eroded", "dilated")
 
 
-@query("cloudmask")
+def _near(radius: int, table: str, flag: str) -> str:
+    span = 2 * radius + 1
+    return f"""SELECT DISTINCT m."row" + i - {radius} AS "row", m.col + j - {radius} AS col
+      FROM {table} m, range({span}) a(i), range({span}) b(j)
+      WHERE {flag} AND (i - {radius}) * (i - {radius}) + (j - {radius}) * (j - {radius}) <= {radius * radius}"""
+
+
+@query(
+    "cloudmask",
+    f"""WITH m0 AS (SELECT "row", col, value > 42000 AS flag FROM v_px),
+         bad AS ({_near(2, "m0", "NOT flag")}),
+         er AS (SELECT m0."row", m0.col, flag AND b."row" IS NULL AS e FROM m0 LEFT JOIN bad b ON b."row" = m0."row" AND b.col = m0.col),
+         gr AS ({_near(18, "er", "e")})
+       SELECT er."row", er.col, g."row" IS NOT NULL AS cloudmask FROM er LEFT JOIN gr g ON g."row" = er."row" AND g.col = er.col""",
+)
 def cloudmask(t: Tables) -> DataFrame:
-    """Full-size clean-up: shrink by 2, widen by 18."""
-    clouds = V.pixels(t).select(F.lit(0).alias("tile"), "row", "col", (F.col("value") > 60000).alias("flag"))
-    return R.clean_mask(clouds, ["tile"], "flag", shrink=1)
+    clouds = V.pixels(t).select(F.lit(0).alias("tile"), "row", "col", (F.col("value") > 42000).alias("flag"))
+    return R.clean_mask(clouds, ["tile"], "flag").select("row", "col", "cloudmask")
 
 
 @query(

@@ -202,7 +202,7 @@ def predict_pixels(t: Tables) -> DataFrame:
     return L.predict_pixels(model, wide, V.CELL, columns, codes, "lc_name")
 
 
-@query("block_function")
+@query("block_function", 'SELECT "row", col, round(value * 10, 6) AS value FROM v_px')
 def block_function(t: Tables) -> DataFrame:
     def times(frame, factor):
         return frame.assign(value=frame["value"] * factor)

@@ -6,8 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 DIGITS = 6
@@ -40,24 +39,19 @@ def half_up_sql(text: str) -> str:
     Engines add a series in different orders; without the slack a sum that lies
     exactly on a tie would round either way.
     """
-    return f"floor(({text}) * 1e{DIGITS} + {0.5 + SLACK}) / 1e{DIGITS}"
-
-
-def _half_up(c: Column) -> Column:
-    return F.floor(c * 10.0**DIGITS + (0.5 + SLACK)) / 10.0**DIGITS
+    return f"floor(({text}) * CAST(1e{DIGITS} AS DOUBLE) + CAST({0.5 + SLACK} AS DOUBLE)) / CAST(1e{DIGITS} AS DOUBLE)"
 
 
 def rounded(df: DataFrame, slack: bool = False) -> DataFrame:
     """All doubles to the digits compared with the SQL twin."""
-    rule = _half_up if slack else (lambda c: F.round(c, DIGITS))
-    return df.select(
-        *[
-            rule(F.col(f"`{f.name}`")).alias(f.name)
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+
+    def shown(f: T.StructField) -> str:
+        c = f"`{f.name}`"
+        if not isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            return c
+        return f"{half_up_sql(c) if slack else f'round({c}, {DIGITS})'} AS {c}"
+
+    return df.selectExpr(*[shown(f) for f in df.schema.fields])
 
 
 def cte(name: str, sql: str) -> None:

@@ -230,7 +230,8 @@ cte(
          sum(h) / max(n) AS f1_micro, avg(coalesce(h / nullif(r, 0), 0)) AS recall_macro,
          avg(coalesce(h / nullif(c, 0), 0)) AS precision_macro,
          coalesce((sum(h) * max(n) - sum(r * c))
-           / nullif(sqrt((max(n * n) - sum(c * c)) * (max(n * n) - sum(r * r))), 0), 0) AS mcc
+           / nullif(sqrt((max(n * n) - sum(c * c)) * (max(n * n) - sum(r * r))), 0), 0) AS mcc,
+         avg((h / nullif(r, 0) + 1 - (c - h) / nullif(n - r, 0)) / 2) AS roc_auc
        FROM v_side GROUP BY fold""",
 )
 _SCORE_SQL = ", ".join(f"round({s}, 6) AS {s}" for s in M.SCORES)
