@@ -84,9 +84,10 @@ def in_threads(jobs: Sequence[Callable], parallelism: int = 8) -> list:
     """Submit Spark jobs from a few driver threads; the work runs in tasks."""
     if len(jobs) == 1 or parallelism == 1:
         return [job() for job in jobs]
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     pool = ThreadPool(min(parallelism, len(jobs)))
     try:
-        return pool.map(lambda run: run(), [inheritable_thread_target(j) for j in jobs])
+        return pool.map(lambda run: run(), [inherit(j) for j in jobs])
     finally:
         pool.close()
 
