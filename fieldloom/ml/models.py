@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.ml.prep import assemble, impute_mean, label_table, standardize
 from fieldloom.operators.metrics import SCORERS, cluster_coassign, fold_scores, label_uncertainty, mean_scores
-from fieldloom.operators.sampling import group_folds, stratified_folds
+from fieldloom.operators.sampling import fold_rounds, group_folds
 from fieldloom.operators.tables import best_trial, trial_params
 from fieldloom.session import reliable
 
@@ -122,16 +122,20 @@ def uncertainty_rounds(
     rows: DataFrame, make: Callable[[int], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 8
 ) -> DataFrame:
     """Each row predicted once per round; modal prediction and share of matches."""
+    folded = reliable(fold_rounds(rows, label, key, folds, rounds))
+
+    def one(r: int, i: int) -> Callable[[], DataFrame]:
+        fold = F.get("folds", F.lit(r))
 
-    def one(r: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            folded = reliable(stratified_folds(rows, label, key, folds, seed=r))
-            out = held_out(folded, lambda: make(r), folds, "fold", [key], parallelism=1)
-            return out.withColumn("round", F.lit(r * folds) + F.col("fold"))
+            model = make(r).fit(folded.where(fold != i))
+            held = model.transform(folded.where(fold == i))
+            return held.select(key, F.lit(r * folds + i).alias("round"), "prediction", "lc")
 
         return run
 
-    long = reduce(DataFrame.unionByName, in_threads([one(r) for r in range(rounds)], parallelism))
+    jobs = [one(r, i) for r in range(rounds) for i in range(folds)]
+    long = reduce(DataFrame.unionByName, in_threads(jobs, parallelism))
     return label_uncertainty(reliable(long), key, "prediction", "lc")
 
 

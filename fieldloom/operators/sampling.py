@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.functions.draws import draw, draw_slice, uniform
+from fieldloom.functions.draws import draw, draw_of, draw_slice, uniform
 from fieldloom.operators.scale import number_rows, pin_small
 
 
@@ -48,6 +48,26 @@ def stratified_folds(
     return numbered.withColumn(out, fold).drop("_draw", "_slice", "_nth")
 
 
+def fold_rounds(df: DataFrame, label: str, key: str, folds: int, rounds: int, out: str = "folds") -> DataFrame:
+    """The folds of several rounds as one array per row; round ``i`` uses seed ``i``.
+
+    All rounds are numbered in one pass over (key, class), without the features.
+    """
+    names = df.where(F.col(label).isNotNull()).select(key, label)
+    each = names.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    text = F.concat_ws(":", F.col("_round"), F.col(key))
+    drawn = each.withColumn("_draw", draw_of(text))
+    sliced = drawn.withColumn("_slice", draw_slice(F.col("_draw"), _slices(df)))
+    numbered = number_rows(sliced, [label, "_round"], ["_slice"], [F.col("_draw"), F.col(key)], "_nth")
+    fold = F.pmod(F.col("_nth") - 1, F.lit(folds)).cast("int")
+    per_row = numbered.groupBy(key).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col("_round").alias("r"), fold.alias("f")))), lambda s: s["f"]
+        ).alias(out)
+    )
+    return df.join(per_row, key)
+
+
 def group_fold_table(
     df: DataFrame, group: str, label: str, folds: int, seed: int = 42, out: str = "fold"
 ) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 2_000
+FIRST_SLICES = 512
+MAX_SLICES = 20_000
 
 
 def pin_small(df: DataFrame, max_rows: int = 10_000) -> tuple[DataFrame, bool]:
@@ -32,16 +33,29 @@ def pin_small(df: DataFrame, max_rows: int = 10_000) -> tuple[DataFrame, bool]:
 
 
 def slice_bounds(df: DataFrame, column: str, slices: int | None = None) -> list[float]:
-    """Cut points splitting the rows of ``df`` into slices of about equal size."""
-    n = df.agg(F.count(column)).first()[0]
-    wanted = slices or min(MAX_SLICES, math.ceil(n / SLICE_ROWS))
-    if n == 0 or wanted < 2:
+    """Cut points splitting the rows of ``df`` into slices of about equal size.
+
+    One pass gives the row count and a first set of cuts; only a table too long
+    for those takes a second pass with finer ones.
+    """
+
+    def cuts_for(n_slices: int):
+        shares = [i / n_slices for i in range(1, n_slices)]
+        return F.percentile_approx(F.col(column).cast("double"), shares, 20 * n_slices)
+
+    if slices is not None:
+        cuts = df.agg(cuts_for(slices)).first()[0] if slices > 1 else []
+        return sorted({float(c) for c in cuts or []})
+    n, cuts = df.agg(F.count(column), cuts_for(FIRST_SLICES)).first()
+    wanted = min(MAX_SLICES, math.ceil(n / SLICE_ROWS))
+    if wanted < 2:
         return []
-    shares = [i / wanted for i in range(1, wanted)]
-    cuts = df.agg(
-        F.percentile_approx(F.col(column).cast("double"), shares, 20 * wanted)
-    ).first()[0]
-    return sorted({float(c) for c in cuts})
+    if wanted > FIRST_SLICES:
+        cuts = df.agg(cuts_for(wanted)).first()[0]
+        every = 1
+    else:
+        every = max(1, FIRST_SLICES // wanted)
+    return sorted({float(c) for c in cuts[every - 1 :: every]})
 
 
 def add_slice(df: DataFrame, column: str, bounds: list[float], out: str = "_slice") -> DataFrame:
@@ -119,9 +133,10 @@ def group_quantiles(
     counts = tagged.groupBy(*keys, "_slice", "_v").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # the same counts again, so the engine reuses their shuffle
     per_slice = (
-        tagged.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        counts.groupBy(*keys, "_slice")
+        .agg(F.sum("_n").alias("_n"))
         .select(
             *keys,
             "_slice",
@@ -192,12 +207,18 @@ def group_median(
     out: str,
     hot_rows: int = 5_000_000,
     slices: int | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
-    """Exact median per group; groups above ``hot_rows`` rows go slice by slice."""
+    """Exact median per group; groups above ``hot_rows`` rows go slice by slice.
+
+    ``biggest`` is the largest group's row count where the caller knows it.
+    """
     keys = list(keys)
     counts = df.groupBy(*keys).agg(F.count(value).alias("_n"))
+    if biggest is None:
+        biggest = counts.agg(F.max("_n")).first()[0] or 0
     hot = counts.where(F.col("_n") > hot_rows).select(*keys)
-    if hot.isEmpty():
+    if biggest <= hot_rows:
         return df.groupBy(*keys).agg(F.median(value).alias(out))
     hot, _ = pin_small(hot)
     r, h = df.alias("r"), hot.alias("h")

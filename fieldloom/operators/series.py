@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.series import DEFAULT_FEATURES, READS, build
-from fieldloom.operators.scale import group_median
+from fieldloom.operators.scale import group_median, group_quantiles
+from fieldloom.session import reliable
 
 INT16 = (-32768, 32767)
 UINT16 = (0, 65535)
@@ -35,20 +36,18 @@ def median_composite(
     value: str,
     nodata: float | None = 0,
     hot_rows: int = 5_000_000,
+    biggest: int | None = None,
 ) -> DataFrame:
     """One exact median per cell, band and time slot; nodata and nulls are skipped."""
     clean = pixels if nodata is None else pixels.withColumn(value, nodata_to_null(value, nodata))
-    return group_median(clean, [*cell, band, slot], value, value, hot_rows)
+    return group_median(clean, [*cell, band, slot], value, value, hot_rows, biggest=biggest)
 
 
-def slot_calendar(table: DataFrame, slot: str, step: str = "day", max_slots: int = 4_000) -> list[dt.date]:
-    """All slots between the first and the last one present."""
-    first, last = table.agg(F.min(slot), F.max(slot)).first()
-    if first is None:
-        return []
+def slot_range(first: dt.date | None, last: dt.date | None, step: str = "day", max_slots: int = 4_000) -> list[dt.date]:
+    """All slots from the first to the last one."""
     slots: list[dt.date] = []
     current = first
-    while current <= last:
+    while current is not None and current <= last:
         slots.append(current)
         if len(slots) > max_slots:
             raise ValueError(f"more than {max_slots} slots between {first} and {last}")
@@ -59,6 +58,11 @@ def slot_calendar(table: DataFrame, slot: str, step: str = "day", max_slots: int
     return slots
 
 
+def slot_calendar(table: DataFrame, slot: str, step: str = "day") -> list[dt.date]:
+    """All slots between the first and the last one present."""
+    return slot_range(*table.agg(F.min(slot), F.max(slot)).first(), step)
+
+
 def on_slot_grid(
     composite: DataFrame, keys: Sequence[str], slot: str, value: str, slots: list[dt.date]
 ) -> DataFrame:
@@ -169,17 +173,25 @@ def band_pivot(
 
 
 def filled_series(
-    pixels: DataFrame, cell: Sequence[str], band: str, slot: str, value: str, nodata: float | None = 0
+    pixels: DataFrame,
+    cell: Sequence[str],
+    band: str,
+    slot: str,
+    value: str,
+    nodata: float | None = 0,
+    step: str = "day",
 ) -> DataFrame:
     """Composite, slot grid and gap filling, laid out by cell.
 
-    The rows are spread by cell once; the series windows, the statistics and the
-    pivot all find that layout and shuffle nothing again.
+    One counting pass tells the calendar and whether any group is too large for a
+    plain median.  The rows are then spread by cell once; the series windows, the
+    statistics and the pivot all find that layout and shuffle nothing again.
     """
-    composite = median_composite(pixels, cell, band, slot, value, nodata)
-    slots = slot_calendar(pixels, slot)
+    counts = pixels.groupBy(*cell, band, slot).agg(F.count(value).alias("_n"))
+    biggest, first, last = counts.agg(F.max("_n"), F.min(slot), F.max(slot)).first()
+    composite = median_composite(pixels, cell, band, slot, value, nodata, biggest=biggest or 0)
     by_cell = composite.repartition(*cell)
-    grid = on_slot_grid(by_cell, [*cell, band], slot, value, slots)
+    grid = on_slot_grid(by_cell, [*cell, band], slot, value, slot_range(first, last, step))
     return interpolate(grid, [*cell, band], value)
 
 
@@ -194,9 +206,11 @@ def split_stack(stacks: DataFrame, keys: Sequence[str], stack: str, slots: list[
 def class_profile(
     series: DataFrame, labels: str, slot: str, value: str, slices: int | None = None
 ) -> DataFrame:
-    """Mean and exact median per class and slot; a class may hold most rows."""
-    from fieldloom.operators.scale import group_quantiles
+    """Mean and exact median per class and slot; a class may hold most rows.
 
+    The series are read several times, so they are written once.
+    """
+    series = reliable(series.select(labels, slot, value))
     means = series.groupBy(labels, slot).agg(F.avg(value).alias("mean_value"))
     medians = group_quantiles(series, [labels, slot], value, {"median_value": 0.5}, slices)
     return means.join(medians, [labels, slot])

@@ -72,6 +72,14 @@ def test_layout_does_not_change_draws(spark, skewed):
     assert folds("1") == folds("7")
 
 
+def test_rounds_equal_single_folds(skewed):
+    rows = skewed.where("key is not null").select("id", "key")
+    many = {r["id"]: r["folds"] for r in P.fold_rounds(rows, "key", "id", 5, 3).collect()}
+    for seed in range(3):
+        for r in P.stratified_folds(rows, "key", "id", 5, seed=seed).collect():
+            assert many[r["id"]][seed] == r["fold"]
+
+
 def test_pin_small(spark):
     small, pinned = pin_small(spark.range(5), 5)
     large, kept = pin_small(spark.range(6), 5)
