@@ -180,13 +180,21 @@ def cluster_coassign(rows: DataFrame, label: str, cluster: str, seed: str) -> Da
 
 
 def attribution_reduce(
-    tensor: DataFrame, how: str, run: str = "run", row: str = "row", label: str = "class", feature: str = "feature", value: str = "shap"
+    tensor: DataFrame,
+    hows: Sequence[str] = ("mean", "max"),
+    row: str = "row",
+    label: str = "class",
+    feature: str = "feature",
+    value: str = "shap",
 ) -> DataFrame:
-    """Mean or max of |value| over runs, mean over classes, sum over rows, per feature."""
-    over_runs = {"mean": F.avg, "max": F.max}[how]
-    cells = tensor.groupBy(row, feature, label).agg(over_runs(F.abs(value)).alias("_v"))
-    rows = cells.groupBy(row, feature).agg(F.avg("_v").alias("_v"))
-    return rows.groupBy(feature).agg(F.sum("_v").alias("importance"))
+    """Mean or max of |value| over runs, mean over classes, sum over rows, per feature.
+
+    Both reductions come from one pass; columns are named ``<how>_importance``.
+    """
+    over_runs = {"mean": F.avg, "max": F.max}
+    cells = tensor.groupBy(row, feature, label).agg(*[over_runs[h](F.abs(value)).alias(h) for h in hows])
+    rows = cells.groupBy(row, feature).agg(*[F.avg(h).alias(h) for h in hows])
+    return rows.groupBy(feature).agg(*[F.sum(h).alias(f"{h}_importance") for h in hows])
 
 
 # Scores by name, each read from ``fold_scores``.

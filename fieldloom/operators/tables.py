@@ -83,12 +83,7 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     """
     keys = list(keys)
     if not unique:
-        merged = tables[0]
-        for i, table in enumerate(tables[1:], start=2):
-            merged = full_outer(merged, table, keys)
-            if i < len(tables):
-                merged = reliable(merged)
-        return merged
+        return fold_outer(tables, keys)
     values = [[c for c in t.columns if c not in keys] for t in tables]
     tagged = [t.withColumn("_band", F.lit(i)) for i, t in enumerate(tables)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
@@ -102,6 +97,16 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     return merged.where(F.when(F.col("_twice"), refused.cast("boolean")).otherwise(True)).drop("_twice")
 
 
+def fold_outer(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Full outer join of several tables; each step but the last is written once."""
+    merged = tables[0]
+    for i, table in enumerate(tables[1:], start=2):
+        merged = full_outer(merged, table, keys)
+        if i < len(tables):
+            merged = reliable(merged)
+    return merged
+
+
 def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join on null-safe keys, in three parts that can each be split.
 
@@ -155,13 +160,13 @@ def point_union(layers: Sequence[tuple[str, DataFrame]]) -> DataFrame:
 
     Each layer's columns get the layer's suffix.
     """
-    out = None
-    for suffix, layer in layers:
-        named = layer.select(
+    named = [
+        layer.select(
             "x", "y", *[F.col(f"`{c}`").alias(f"{c}_{suffix}") for c in layer.columns if c not in ("x", "y")]
         )
-        out = named if out is None else full_outer(out, named, ["x", "y"])
-    return out
+        for suffix, layer in layers
+    ]
+    return fold_outer(named, ["x", "y"])
 
 
 # --- numbering ----------------------------------------------------------------

@@ -212,14 +212,14 @@ def _near(radius: int, table: str, flag: str) -> str:
 
 @query(
     "cloudmask",
-    f"""WITH m0 AS (SELECT "row", col, value > 42000 AS flag FROM v_px),
+    f"""WITH m0 AS (SELECT "row", col, value > 50500 AS flag FROM v_px),
          bad AS ({_near(2, "m0", "NOT flag")}),
          er AS (SELECT m0."row", m0.col, flag AND b."row" IS NULL AS e FROM m0 LEFT JOIN bad b ON b."row" = m0."row" AND b.col = m0.col),
          gr AS ({_near(18, "er", "e")})
        SELECT er."row", er.col, g."row" IS NOT NULL AS cloudmask FROM er LEFT JOIN gr g ON g."row" = er."row" AND g.col = er.col""",
 )
 def cloudmask(t: Tables) -> DataFrame:
-    clouds = V.pixels(t).select(F.lit(0).alias("tile"), "row", "col", (F.col("value") > 42000).alias("flag"))
+    clouds = V.pixels(t).select(F.lit(0).alias("tile"), "row", "col", (F.col("value") > 50500).alias("flag"))
     return R.clean_mask(clouds, ["tile"], "flag").select("row", "col", "cloudmask")
 
 

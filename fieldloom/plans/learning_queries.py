@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from fieldloom.ml import prep as P
 from fieldloom.operators import series as S
 from fieldloom.operators.sampling import group_folds
 from fieldloom.plans import views as V
-from fieldloom.plans.registry import Tables, cte, query
+from fieldloom.plans.registry import Tables, cte, half_up_sql, query
 from fieldloom.session import reliable
 
 COLUMNS = V.FEATURES
@@ -96,13 +97,24 @@ def pca_project(t: Tables) -> DataFrame:
     return P.pca_project(V.features(t, wide=True), COLUMNS).select("id", "lc_name", "pc1", "pc2")
 
 
-@query("mixed_table")
-def mixed_table(t: Tables) -> DataFrame:
-    rows = V.observations(t).withColumn("n_chars", F.col("n_chars").cast("double"))
-    out = P.mixed_table(rows, ["n_chars"], ["primar", "Quality"])
-    from pyspark.ml.functions import vector_to_array
+_LANGS, _MARKS = ["de", "en", "es", "fr"], ["D", "L", "OK", "missing"]
+
 
-    return out.select("id", vector_to_array("features").alias("features"))
+@query(
+    "mixed_table",
+    "SELECT id, CAST(coalesce(nullif(n_chars, 100), avg(nullif(n_chars, 100)) OVER ()) AS DOUBLE) AS n_chars, "
+    + ", ".join(f"CASE WHEN primar = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS primar_{v}" for v in _LANGS)
+    + ", "
+    + ", ".join(f"CASE WHEN coalesce(Quality, 'missing') = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS quality_{v}" for v in _MARKS)
+    + " FROM v_obs",
+)
+def mixed_table(t: Tables) -> DataFrame:
+    rows = V.observations(t).withColumn("n_chars", F.nullif(F.col("n_chars"), F.lit(100)).cast("double"))
+    parts = vector_to_array("features")
+    out = P.mixed_table(rows, ["n_chars"], ["primar", "Quality"]).select("id", parts.alias("v"))
+    # a last, empty place of each category is kept for values unseen in the fit
+    names = ["n_chars", *[f"primar_{v}" for v in _LANGS], None, *[f"quality_{v}" for v in _MARKS]]
+    return out.select("id", *[F.col("v")[i].alias(n) for i, n in enumerate(names) if n])
 
 
 # --- models -------------------------------------------------------------------
@@ -202,7 +214,7 @@ def predict_pixels(t: Tables) -> DataFrame:
     return L.predict_pixels(model, wide, V.CELL, columns, codes, "lc_name")
 
 
-@query("block_function", 'SELECT "row", col, round(value * 10, 6) AS value FROM v_px')
+@query("block_function", f'SELECT "row", col, {half_up_sql("value * 10")} AS value FROM v_px', slack=True)
 def block_function(t: Tables) -> DataFrame:
     def times(frame, factor):
         return frame.assign(value=frame["value"] * factor)

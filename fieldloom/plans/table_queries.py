@@ -319,23 +319,22 @@ cte(
 )
 
 
-def _reduced(t: Tables, how: str) -> DataFrame:
-    tensor = V.attribution(t).withColumn("shap", F.col("shap").cast("double"))
-    return M.attribution_reduce(tensor, how)
+def _reduced(t: Tables) -> DataFrame:
+    return M.attribution_reduce(V.attribution(t).withColumn("shap", F.col("shap").cast("double")))
 
 
 @query(
     "attribution_reduce",
-    "SELECT CAST(feature AS INTEGER) AS feature, round(mean_imp, 6) AS mean_imp, round(max_imp, 6) AS max_imp FROM v_reduced",
+    """SELECT CAST(feature AS INTEGER) AS feature, round(mean_imp, 6) AS mean_importance,
+         round(max_imp, 6) AS max_importance FROM v_reduced""",
 )
 def attribution_reduce(t: Tables) -> DataFrame:
-    mean = _reduced(t, "mean").withColumnRenamed("importance", "mean_imp")
-    return mean.join(_reduced(t, "max").withColumnRenamed("importance", "max_imp"), "feature")
+    return _reduced(t)
 
 
 def _named(t: Tables, how: str) -> DataFrame:
     name = F.concat(F.lit("feature_"), F.lpad(F.col("feature").cast("string"), 2, "0"))
-    return _reduced(t, how).select(name.alias("name"), "importance")
+    return _reduced(t).select(name.alias("name"), F.col(f"{how}_importance").alias("importance"))
 
 
 _TOP = """SELECT 'feature_' || lpad(CAST(feature AS VARCHAR), 2, '0') AS name, {0} AS importance

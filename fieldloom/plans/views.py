@@ -102,7 +102,7 @@ def points(t: Tables) -> DataFrame:
 cte(
     "v_px",
     """SELECT CAST(l_partkey % 100 AS INTEGER) AS "row", CAST(l_suppkey % 100 AS INTEGER) AS col,
-         avg(l_extendedprice) AS value
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / count(*) / 100 AS value
        FROM lineitem GROUP BY ALL""",
 )
 
@@ -112,7 +112,10 @@ def pixels(t: Tables) -> DataFrame:
         t.lineitem.groupBy(
             (F.col("l_partkey") % 100).cast("int").alias("row"), (F.col("l_suppkey") % 100).cast("int").alias("col")
         )
-        .agg(F.avg("l_extendedprice").alias("value"))
+        # whole cents add up alike in any order
+        .agg(
+            (F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")) / F.count(F.lit(1)) / 100).alias("value")
+        )
     )
 
 

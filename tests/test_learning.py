@@ -97,11 +97,14 @@ def test_outlier_scores_find_a_far_row(spark):
     assert 189 <= left.count() <= 192
 
 
-def test_pattern_table_against_all_subsets():
+@pytest.mark.parametrize("table_features", [8, 2])
+def test_factors_against_all_orders(monkeypatch, table_features):
+    monkeypatch.setattr(A, "TABLE_FEATURES", table_features)
     shares = np.array([0.3, 0.6, 0.9])
-    table = A.pattern_table(shares)
-    for pattern in range(8):
-        met = [(pattern >> k) & 1 for k in range(3)]
+    leaf = A.Leaf(np.arange(3), None, None, shares, None)
+    patterns = np.array(list(itertools.product([False, True], repeat=3)))
+    factors = A.leaf_factors(leaf, patterns)
+    for met, got in zip(patterns, factors):
 
         def worth(held):
             out = 1.0
@@ -112,7 +115,7 @@ def test_pattern_table_against_all_subsets():
         for j in range(3):
             orders = list(itertools.permutations(range(3)))
             want = np.mean([worth(set(o[: o.index(j) + 1])) - worth(set(o[: o.index(j)])) for o in orders])
-            assert table[pattern, j] == pytest.approx(want)
+            assert got[j] == pytest.approx(want)
 
 
 def test_attribution_adds_up(training):
@@ -132,9 +135,9 @@ def test_importance_equals_the_long_reduction(training):
     models = [L.classifier("RandomForest", {"n_estimators": 3, "max_depth": 3}).fit(folded.where(F.col("fold") != i)) for i in range(2)]
     short = {r["feature"]: r for r in A.attribution_importance(models, table, COLUMNS).collect()}
     long = A.tree_attribution(models, table, "id").cache()
-    for how in ("mean", "max"):
-        for r in M.attribution_reduce(long, how, row="id").collect():
-            assert short[COLUMNS[r["feature"]]][f"{how}_importance"] == pytest.approx(r["importance"])
+    for r in M.attribution_reduce(long, row="id").collect():
+        for how in ("mean_importance", "max_importance"):
+            assert short[COLUMNS[r["feature"]]][how] == pytest.approx(r[how])
 
 
 def test_search_and_best(training, tmp_path, spark):
