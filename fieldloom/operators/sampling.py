@@ -72,7 +72,9 @@ def group_fold_table(
     df: DataFrame, group: str, label: str, folds: int, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
     """One fold per group: groups of a main class, largest first, dealt in snake order."""
-    pairs = df.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    # both null filters stand here, so that the two uses of the group table share its shuffles
+    known = df.where(F.col(label).isNotNull() & F.col(group).isNotNull())
+    pairs = known.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
     groups = pairs.groupBy(group).agg(
         F.min_by(label, F.struct(-F.col("_n"), F.col(label))).alias("_main"),
         F.sum("_n").alias("_size"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_ROWS = 1_000_000
+LEAST_SLICES = 32
 FIRST_SLICES = 512
 MAX_SLICES = 20_000
 
@@ -47,9 +48,9 @@ def slice_bounds(df: DataFrame, column: str, slices: int | None = None) -> list[
         cuts = df.agg(cuts_for(slices)).first()[0] if slices > 1 else []
         return sorted({float(c) for c in cuts or []})
     n, cuts = df.agg(F.count(column), cuts_for(FIRST_SLICES)).first()
-    wanted = min(MAX_SLICES, math.ceil(n / SLICE_ROWS))
-    if wanted < 2:
+    if n == 0:
         return []
+    wanted = min(MAX_SLICES, max(LEAST_SLICES, math.ceil(n / SLICE_ROWS)))
     if wanted > FIRST_SLICES:
         cuts = df.agg(cuts_for(wanted)).first()[0]
         every = 1
