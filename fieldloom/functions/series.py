@@ -1,46 +1,27 @@
 """Registry of statistics over one cell's ordered series of one band.
 
-A builder gets the series columns (``Series``) and its parameters and returns an
-aggregate.  All statistics of a table are computed in one aggregation.
+A builder gets its parameters and returns an aggregate, as SQL text over the
+series columns or as a column.  All statistics of a table are computed in one
+aggregation, which stays in generated code: moments are sums of deviations from a
+window mean, order statistics and positions are read by ``max`` and ``min``.
+
+Series columns, one row per slot with a value: ``x`` value, ``t`` slot position,
+``doy`` day of year, ``mu`` mean, ``n`` number and ``rank`` ascending order (from 0)
+of the values, ``low``, ``top`` and ``sigma`` extremes and deviation, ``prev`` value
+before, ``ahead_<k>`` value k places on, ``run_above`` and ``run_below`` length of
+the run above or below the mean that ends here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class Series:
-    """Names of the columns a builder may read; one row per slot with a value.
-
-    ``rank`` counts the values in ascending order from 0, ``n`` is their number.
-    Order statistics and positions are read through them with plain ``max`` and
-    ``min``, so that the whole aggregation stays in generated code.
-    """
-
-    x: str = "x"
-    t: str = "t"
-    doy: str = "doy"
-    mean: str = "mu"
-    top: str = "top"
-    low: str = "low"
-    sigma: str = "sigma"
-    rank: str = "rank"
-    n: str = "n"
-    prev: str = "prev"
-    run_above: str = "run_above"
-    run_below: str = "run_below"
-    ahead: Callable[[int], str] = field(default=lambda lag: f"ahead_{lag}")
-
-
-S = Series()
-Builder = Callable[..., Column]
+Builder = Callable[..., "str | Column"]
 REGISTRY: dict[str, Builder] = {}
-# columns a function reads beyond x, t, doy and the mean
+# series columns a function needs beyond x, t, doy and mu
 READS: dict[str, set[str]] = {}
 
 
@@ -55,145 +36,112 @@ def register(name: str, *reads: str) -> Callable[[Builder], Builder]:
     return keep
 
 
-def _c(name: str) -> Column:
-    return F.col(name)
-
-
-def _spread() -> Column:
-    return F.max(S.x) - F.min(S.x)
-
-
-def _n() -> Column:
-    return F.count(S.x)
-
-
-def _off() -> Column:
-    return _c(S.x) - _c(S.mean)
-
+def _text(name: str, text: str, *reads: str) -> None:
+    register(name, *reads)(lambda: text)
 
-def _step() -> Column:
-    return _c(S.x) - _c(S.prev)
 
-
-def _moment(k: int) -> Column:
+def _moment(k: int) -> str:
     """Sum of the k-th powers of the deviations."""
-    out = _off()
-    for _ in range(k - 1):
-        out = out * _off()
-    return F.sum(out)
-
+    return f"sum({' * '.join(['(x - mu)'] * k)})"
 
-def _variance() -> Column:
-    return _moment(2) / _n()
 
+COUNT = "count(x)"
+SPREAD = "(max(x) - min(x))"
+VARIANCE = f"({_moment(2)} / {COUNT})"
+DEVIATION = f"sqrt({VARIANCE})"
 
-def _count_if(cond: Column) -> Column:
-    return F.count(F.when(cond, 1))
 
-
-def _at_rank(q: float) -> Column:
+def _at_rank(q: float) -> str:
     """Linear-interpolated quantile from the ranked values."""
-    place = F.lit(q) * (_c(S.n) - 1)
-    low = F.max(F.when(_c(S.rank) == F.floor(place), _c(S.x)))
-    high = F.max(F.when(_c(S.rank) == F.ceil(place), _c(S.x)))
-    at = F.lit(q) * (_n() - 1)
-    return low + (high - low) * (at - F.floor(at))
+    place, at = f"({q!r}D * (n - 1))", f"({q!r}D * ({COUNT} - 1))"
+    low = f"max(if(rank = floor{place}, x, null))"
+    high = f"max(if(rank = ceil{place}, x, null))"
+    return f"({low} + ({high} - {low}) * ({at} - floor{at}))"
 
 
-def _doy_of(extreme: str) -> Column:
+def _doy_of(extreme: str) -> str:
     """Day of year of the first slot holding the extreme; slot and day packed in one number."""
-    packed = _c(S.t).cast("bigint") * 1000 + _c(S.doy)
-    return F.pmod(F.min(F.when(_c(S.x) == _c(extreme), packed)), F.lit(1000)).cast("int")
-
-
-def _plain(name: str, *reads: str):
-    def keep(build_column: Callable[[], Column]) -> None:
-        register(name, *reads)(build_column)
-
-    return keep
+    return f"cast(min(if(x = {extreme}, cast(t AS bigint) * 1000 + doy, null)) % 1000 AS int)"
 
 
-_plain("abs_energy")(lambda: F.sum(_c(S.x) * _c(S.x)))
+_text("abs_energy", "sum(x * x)")
 # a series of one value has no change at all
-_plain("absolute_sum_of_changes", "prev")(lambda: F.coalesce(F.sum(F.abs(_step())), F.lit(0.0)))
-_plain("count_above_mean")(lambda: _count_if(_c(S.x) > _c(S.mean)))
-_plain("count_below_mean")(lambda: _count_if(_c(S.x) < _c(S.mean)))
-_plain("doy_of_maximum", "top")(lambda: _doy_of(S.top))
-_plain("doy_of_minimum", "low")(lambda: _doy_of(S.low))
-_plain("kurtosis")(
-    lambda: F.when(_moment(2) > 0, _moment(4) * _n() / (_moment(2) * _moment(2)) - 3)
-)
-_plain("longest_strike_above_mean", "run_above")(lambda: F.max(S.run_above))
-_plain("longest_strike_below_mean", "run_below")(lambda: F.max(S.run_below))
-_plain("maximum")(lambda: F.max(S.x))
-_plain("mean")(lambda: F.avg(S.x))
-_plain("mean_abs_change", "prev")(lambda: F.avg(F.abs(_step())))
-_plain("mean_change", "prev")(lambda: F.avg(_step()))
-_plain("median", "rank")(lambda: _at_rank(0.5))
-_plain("minimum")(lambda: F.min(S.x))
-_plain("standard_deviation")(lambda: F.sqrt(_variance()))
-_plain("sum")(lambda: F.sum(S.x))
-_plain("ts_complexity_cid_ce", "prev")(lambda: F.sqrt(F.coalesce(F.sum(_step() * _step()), F.lit(0.0))))
-_plain("variance")(_variance)
-_plain("variance_larger_than_standard_deviation")(lambda: _variance() > F.sqrt(_variance()))
+_text("absolute_sum_of_changes", "coalesce(sum(abs(x - prev)), 0D)", "prev")
+_text("count_above_mean", "count_if(x > mu)")
+_text("count_below_mean", "count_if(x < mu)")
+_text("doy_of_maximum", _doy_of("top"), "top")
+_text("doy_of_minimum", _doy_of("low"), "low")
+_text("kurtosis", f"if({_moment(2)} > 0, {_moment(4)} * {COUNT} / ({_moment(2)} * {_moment(2)}) - 3, null)")
+_text("longest_strike_above_mean", "max(run_above)", "run_above")
+_text("longest_strike_below_mean", "max(run_below)", "run_below")
+_text("maximum", "max(x)")
+_text("mean", "avg(x)")
+_text("mean_abs_change", "avg(abs(x - prev))", "prev")
+_text("mean_change", "avg(x - prev)", "prev")
+_text("median", _at_rank(0.5), "rank")
+_text("minimum", "min(x)")
+_text("standard_deviation", DEVIATION)
+_text("sum", "sum(x)")
+_text("ts_complexity_cid_ce", "sqrt(coalesce(sum((x - prev) * (x - prev)), 0D))", "prev")
+_text("variance", VARIANCE)
+_text("variance_larger_than_standard_deviation", f"{VARIANCE} > {DEVIATION}")
 
 
 @register("autocorr", "lag")
-def _autocorr(lag: int) -> Column:
-    products = F.sum(_off() * (_c(S.ahead(lag)) - _c(S.mean)))
-    return F.when(
-        (_moment(2) > 0) & (_n() > lag), F.try_divide(products, (_n() - lag) * _variance())
-    )
+def _autocorr(lag: int) -> str:
+    products = f"sum((x - mu) * (ahead_{lag} - mu))"
+    known = f"{_moment(2)} > 0 AND {COUNT} > {lag}"
+    return f"if({known}, try_divide({products}, ({COUNT} - {lag}) * {VARIANCE}), null)"
 
 
 @register("large_standard_deviation")
-def _large_sd(r: float) -> Column:
-    return F.sqrt(_variance()) > F.lit(r) * _spread()
+def _large_sd(r: float) -> str:
+    return f"{DEVIATION} > {float(r)!r}D * {SPREAD}"
 
 
 @register("symmetry_looking", "rank")
-def _symmetry(r: float) -> Column:
-    return F.abs(F.avg(S.x) - _at_rank(0.5)) < F.lit(r) * _spread()
+def _symmetry(r: float) -> str:
+    return f"abs(avg(x) - {_at_rank(0.5)}) < {float(r)!r}D * {SPREAD}"
 
 
 @register("mean_second_derivative_central", "bend")
-def _second_derivative(as_printed: bool = False) -> Column:
-    bend = F.avg((_c(S.ahead(2)) - 2 * _c(S.ahead(1)) + _c(S.x)) / 2)
-    return bend / 2 if as_printed else bend
+def _second_derivative(as_printed: bool = False) -> str:
+    bend = "avg((ahead_2 - 2 * ahead_1 + x) / 2)"
+    return f"{bend} / 2" if as_printed else bend
 
 
 @register("ols_slope_intercept")
-def _trend(returns: str) -> Column:
-    mid = F.sum(S.t) / _n()
-    time = F.sum(_c(S.t) * _c(S.t)) - F.sum(S.t) * mid
-    both = F.sum(_off() * _c(S.t))
-    slope = F.try_divide(both, time)
-    if returns == "slope":
-        return slope
-    if returns == "intercept":
-        return F.avg(S.x) - slope * mid
-    if returns == "rsquared":
-        return F.try_divide(both * both, time * _moment(2))
-    raise ValueError(f"returns must be slope, intercept or rsquared, not {returns}")
+def _trend(returns: str) -> str:
+    middle = f"(sum(t) / {COUNT})"
+    time = f"(sum(t * t) - sum(t) * {middle})"
+    both = "sum((x - mu) * t)"
+    slope = f"try_divide({both}, {time})"
+    forms = {
+        "slope": slope,
+        "intercept": f"avg(x) - {slope} * {middle}",
+        "rsquared": f"try_divide({both} * {both}, {time} * {_moment(2)})",
+    }
+    if returns not in forms:
+        raise ValueError(f"returns must be one of {sorted(forms)}, not {returns}")
+    return forms[returns]
 
 
 @register("quantile", "rank")
-def _quantile(q: float) -> Column:
-    return _at_rank(q)
+def _quantile(q: float) -> str:
+    return _at_rank(float(q))
 
 
 @register("ratio_beyond_r_sigma", "sigma")
-def _beyond(r: float) -> Column:
-    return F.avg(F.when(F.abs(_off()) > F.lit(r) * _c(S.sigma), 1.0).otherwise(0.0))
+def _beyond(r: float) -> str:
+    return f"avg(if(abs(x - mu) > {float(r)!r}D * sigma, 1D, 0D))"
 
 
 @register("skewness")
-def _skewness() -> Column:
-    n = _n().cast("double")
-    sample_sd = F.sqrt(_moment(2) / (n - 1))
-    return F.when(
-        (n > 2) & (_moment(2) > 0), n * _moment(3) / ((n - 1) * (n - 2) * sample_sd * sample_sd * sample_sd)
-    )
+def _skewness() -> str:
+    n = f"cast({COUNT} AS double)"
+    sample = f"sqrt({_moment(2)} / ({n} - 1))"
+    adjusted = f"{n} * {_moment(3)} / (({n} - 1) * ({n} - 2) * {sample} * {sample} * {sample})"
+    return f"if({COUNT} > 2 AND {_moment(2)} > 0, {adjusted}, null)"
 
 
 # The statistics the workflow computes for each band, in its order; fixed values.
@@ -244,4 +192,5 @@ def feature_name(function: str, params: dict) -> str:
 def build(function: str, params: dict) -> Column:
     if function not in REGISTRY:
         raise KeyError(f"unknown series function {function}")
-    return REGISTRY[function](**params).alias(feature_name(function, params))
+    made = REGISTRY[function](**params)
+    return (F.expr(made) if isinstance(made, str) else made).alias(feature_name(function, params))

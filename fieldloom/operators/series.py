@@ -190,7 +190,10 @@ def filled_series(
     counts = pixels.groupBy(*cell, band, slot).agg(F.count(value).alias("_n"))
     biggest, first, last = counts.agg(F.max("_n"), F.min(slot), F.max(slot)).first()
     composite = median_composite(pixels, cell, band, slot, value, nodata, biggest=biggest or 0)
-    by_cell = composite.repartition(*cell)
+    # the rows multiply by the calendar after this shuffle, so its task count is given
+    # rather than left to the size the engine measures before
+    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_cell = composite.repartition(tasks, *cell)
     grid = on_slot_grid(by_cell, [*cell, band], slot, value, slot_range(first, last, step))
     return interpolate(grid, [*cell, band], value)
 
