@@ -201,13 +201,22 @@ def first_containing(df: DataFrame, name: str, part: str) -> DataFrame:
 
 
 def substring_join(
-    paths: DataFrame, path: str, names: DataFrame, name: str, first: int | None = None, max_names: int = 10_000
+    paths: DataFrame,
+    path: str,
+    names: DataFrame,
+    name: str,
+    rank: str | None = None,
+    first: int | None = None,
+    max_names: int = 10_000,
 ) -> DataFrame:
     """Rows (name, path) for every name contained in a path; unmatched names stay.
 
-    The names are a short ranked list: they become one array literal, and each
-    path row filters it.  Paths are neither shuffled nor collected.
+    ``first`` keeps that many names in the order of ``rank``.  The names are a short
+    ranked list: they become one array literal, and each path row filters it.
+    Paths are neither shuffled nor collected.
     """
+    if first is not None:
+        names = names.orderBy(rank, name).limit(first)
     names = names.select(name)
     found = names.limit(max_names + 1).collect()
     if len(found) > max_names:
@@ -216,9 +225,6 @@ def substring_join(
     hits = paths.select(
         F.explode(F.filter(listed, lambda n: F.contains(F.col(path), n))).alias(name), path
     )
-    if first is not None:
-        order = Window.partitionBy(name).orderBy(path)
-        hits = hits.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= first).drop("_nth")
     missing = names.join(hits.select(name).distinct(), name, "left_anti")
     return hits.unionByName(missing, allowMissingColumns=True)
 

@@ -369,6 +369,18 @@ def substring_join(t: Tables) -> DataFrame:
     return T.substring_join(V.files(t).select("path"), "path", kinds.union(absent), "name")
 
 
+@query(
+    "substring_join_ranked",
+    """WITH k AS (SELECT event_type || '_M_2024-01-' || event_type AS name, count(*) AS n FROM events GROUP BY ALL),
+         f AS (SELECT name FROM k ORDER BY n DESC, name LIMIT 3)
+       SELECT f.name, p.path FROM f LEFT JOIN v_files p ON contains(p.path, f.name)""",
+)
+def substring_join_ranked(t: Tables) -> DataFrame:
+    name = F.concat("event_type", F.lit("_M_2024-01-"), "event_type").alias("name")
+    kinds = t.events.groupBy(name).agg((-F.count(F.lit(1))).alias("place"))
+    return T.substring_join(V.files(t).select("path"), "path", kinds, "name", "place", 3)
+
+
 @query("first_match", "SELECT min(path) AS path FROM v_files WHERE contains(path, 'view')")
 def first_match(t: Tables) -> DataFrame:
     return T.first_containing(V.files(t), "path", "view")
