@@ -56,9 +56,10 @@ def label_encode(df: DataFrame, label: str, out: str = "lc") -> DataFrame:
     return df.join(table, label, "left")
 
 
-def label_decode(df: DataFrame, code: str, table: DataFrame, label: str) -> DataFrame:
+def label_decode(df: DataFrame, code: str, table: DataFrame) -> DataFrame:
+    """Class names next to their codes."""
     small, _ = pin_small(table)
-    return df.join(small, code, "left").drop(code) if label not in df.columns else df.join(small.drop(label), code)
+    return df.join(small, code, "left")
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

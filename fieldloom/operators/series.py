@@ -180,6 +180,7 @@ def filled_series(
     value: str,
     nodata: float | None = 0,
     step: str = "day",
+    hot_rows: int = 5_000_000,
 ) -> DataFrame:
     """Composite, slot grid and gap filling, laid out by cell.
 
@@ -189,7 +190,7 @@ def filled_series(
     """
     counts = pixels.groupBy(*cell, band, slot).agg(F.count(value).alias("_n"))
     biggest, first, last = counts.agg(F.max("_n"), F.min(slot), F.max(slot)).first()
-    composite = median_composite(pixels, cell, band, slot, value, nodata, biggest=biggest or 0)
+    composite = median_composite(pixels, cell, band, slot, value, nodata, hot_rows, biggest or 0)
     # the rows multiply by the calendar after this shuffle, so its task count is given
     # rather than left to the size the engine measures before
     tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))

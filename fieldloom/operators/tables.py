@@ -21,10 +21,11 @@ def count_by(df: DataFrame, keys: Sequence[str], counted: str | None = None, out
 
 
 def class_share(df: DataFrame, key: str) -> DataFrame:
-    """Count and percentage of the total per class."""
+    """Count and percentage of the total per class, largest first."""
     counts = count_by(df, [key], out="count")
     total = counts.agg(F.sum("count"))
-    return counts.withColumn("percentage", F.col("count") / total.scalar() * 100)
+    shares = counts.withColumn("percentage", F.col("count") / total.scalar() * 100)
+    return shares.orderBy(F.desc("percentage"), key)
 
 
 def share_pred_vs_actual(pred: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -57,12 +57,12 @@ def bbox_filter(t: Tables) -> DataFrame:
     "tiles_with_points",
     """WITH g AS (SELECT DISTINCT "row" // 10 AS tile_row, col // 10 AS tile_col FROM v_px),
          p AS (SELECT DISTINCT CAST(floor(floor((1000 - y) / 10) / 10) AS INTEGER) AS tile_row,
-                 CAST(floor(floor(x / 10) / 10) AS INTEGER) AS tile_col FROM v_points WHERE del = '0' AND lc_name = 'BUILDING')
+                 CAST(floor(floor(x / 10) / 10) AS INTEGER) AS tile_col FROM v_points WHERE lc_name = 'BUILDING')
        SELECT g.tile_row, g.tile_col FROM g SEMI JOIN p ON p.tile_row = g.tile_row AND p.tile_col = g.tile_col""",
 )
 def tiles_with_points(t: Tables) -> DataFrame:
     tiles = R.with_tile(V.pixels(t), 10).select("tile_row", "tile_col").distinct()
-    wanted = V.points(t).where("del = '0' AND lc_name = 'BUILDING'")
+    wanted = V.points(t).where("lc_name = 'BUILDING'")
     row, col = G.pixel_of(F.col("x"), F.col("y"), *WHERE)
     at = R.with_tile(wanted.select(row.alias("row"), col.alias("col")), 10)
     return R.tiles_with_points(tiles, at, ["tile_row", "tile_col"])

@@ -182,7 +182,7 @@ def test_prep(spark, rows):
     assert prep.collinear_columns(pairs, [*COLUMNS, "f4"], 0.999) == ["f4"]
     encoded = prep.label_encode(rows, "lc_name")
     assert {(r["lc_name"], r["lc"]) for r in encoded.select("lc_name", "lc").distinct().collect()} == {("a", 0), ("b", 1), ("c", 2)}
-    decoded = prep.label_decode(encoded.drop("lc_name"), "lc", prep.label_table(rows, "lc_name"), "lc_name")
+    decoded = prep.label_decode(encoded.drop("lc_name"), "lc", prep.label_table(rows, "lc_name"))
     assert decoded.where("lc_name = 'b'").count() == rows.where("lc_name = 'b'").count()
 
 

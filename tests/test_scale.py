@@ -99,6 +99,39 @@ def test_sample_above_window_limit(spark):
     assert {r[0] for r in drawn} == {r[0] for r in salted}
 
 
+def test_hot_cells_give_the_same_series(spark, folder):
+    t = Tables(spark, folder)
+    # two thirds of all rows move to one cell
+    rows = V.raw(t).withColumn("cell", F.when(F.col("cell") % 3 > 0, 1).otherwise(F.col("cell")))
+
+    def series(hot_rows):
+        out = S.filled_series(rows, V.CELL, "band", "slot", "value", hot_rows=hot_rows)
+        return {(r["cell"], r["band"], r["pos"]): round(r["value"], 9) for r in out.collect()}
+
+    assert series(2) == series(10**9)
+
+
+def test_lineage_needs_a_shared_folder(spark, monkeypatch):
+    from fieldloom import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_folder(Session())
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
