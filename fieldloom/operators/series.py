@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from fieldloom.functions.series import DEFAULT_FEATURES, READS, build
 from fieldloom.operators.scale import group_median, group_quantiles
 from fieldloom.session import reliable
 
+VALUES_PER_TASK = 20_000
 INT16 = (-32768, 32767)
 UINT16 = (0, 65535)
 
@@ -189,11 +191,15 @@ def filled_series(
     statistics and the pivot all find that layout and shuffle nothing again.
     """
     counts = pixels.groupBy(*cell, band, slot).agg(F.count(value).alias("_n"))
-    biggest, first, last = counts.agg(F.max("_n"), F.min(slot), F.max(slot)).first()
+    biggest, first, last, values = counts.agg(
+        F.max("_n"), F.min(slot), F.max(slot), F.count(F.lit(1))
+    ).first()
     composite = median_composite(pixels, cell, band, slot, value, nodata, hot_rows, biggest or 0)
-    # the rows multiply by the calendar after this shuffle, so its task count is given
-    # rather than left to the size the engine measures before
-    tasks = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the rows multiply by the calendar after this shuffle, so its task count comes
+    # from the counting pass rather than from the size the engine measures before
+    spark = pixels.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(most, max(spark.sparkContext.defaultParallelism, math.ceil(values / VALUES_PER_TASK)))
     by_cell = composite.repartition(tasks, *cell)
     grid = on_slot_grid(by_cell, [*cell, band], slot, value, slot_range(first, last, step))
     return interpolate(grid, [*cell, band], value)
