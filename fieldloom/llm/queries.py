@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, secrets
+from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,15 @@ def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
+        F.col("toxic_score").alias("score"), (F.col("toxic_score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -74,4 +83,5 @@ QUERIES = {
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
     "op8_licence_scan": op8_licence_scan,
+    "op9_toxicity": op9_toxicity,
 }

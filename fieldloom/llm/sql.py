@@ -95,7 +95,7 @@ _RULES = ", ".join(
 OP8 = rf"""
 WITH d AS (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace({LOWERED}, '\n+|[.!?;:]+([\x20\x09-\x0D]|$)', chr(10), 'g'), '\n'),
-    s -> trim(regexp_replace(s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))), s -> s <> '') AS s FROM documents
+    lambda s: trim(regexp_replace(s, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))), lambda s: s <> '') AS s FROM documents
 ), e AS (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS spot FROM d),
 known AS (SELECT unnest(map_entries(MAP {{{_IDS}}}), recursive := true)),
 i AS (SELECT doc_id, spot, known.value AS id FROM e JOIN known ON e.s = known.key),
