@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, secrets, toxicity
+from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, secrets, shards, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.write_shards(table(spark, folder, "documents"))[1]
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     hits = decontaminate.contaminated_words(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return hits.select(
@@ -79,6 +83,7 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_token_shards": op3_token_shards,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,

@@ -88,8 +88,16 @@ def _quoted(text: str) -> str:
 
 
 _IDS = ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in licences.SENTENCES.items())
+
+
+def _pattern(ids: tuple[str, ...], shown: int) -> str:
+    """The identifiers in their order; group 1 is the place of the one that is shown."""
+    parts = [f",{'(' if i == shown else '(?:'}[0-9]+)={name}," for i, name in enumerate(ids)]
+    return _quoted("^.*?" + ".*?".join(parts))
+
+
 _RULES = ", ".join(
-    f"({_quoted(name)}, {_quoted(lic)}, {len(ids)}, {_quoted('^.*?' + '.*?'.join(',([0-9]+)=' + i + ',' for i in ids))})" for name, lic, ids in licences.RULES
+    f"({_quoted(name)}, {_quoted(licence)}, {len(ids)}, {_pattern(ids, 0)}, {_pattern(ids, len(ids) - 1)})" for name, licence, ids in licences.RULES
 )
 
 OP8 = rf"""
@@ -100,10 +108,10 @@ WITH d AS (
 known AS (SELECT unnest(map_entries(MAP {{{_IDS}}}), recursive := true)),
 i AS (SELECT doc_id, spot, known.value AS id FROM e JOIN known ON e.s = known.key),
 n AS (SELECT doc_id, count(*) AS n, string_agg(',' || spot || '=' || id || ',', '' ORDER BY spot) AS ids FROM i GROUP BY doc_id),
-rules(rule, licence, size, pattern) AS (VALUES {_RULES}),
+rules(rule, licence, size, head, tail) AS (VALUES {_RULES}),
 hit AS (
-  SELECT doc_id, rule, licence, size, regexp_extract(ids, pattern, 1) AS first, regexp_extract(ids, pattern, size) AS last
-  FROM n JOIN rules ON regexp_matches(ids, pattern)
+  SELECT doc_id, rule, licence, size, regexp_extract(ids, head, 1) AS first, regexp_extract(ids, tail, 1) AS last
+  FROM n JOIN rules ON regexp_matches(ids, head)
 ), best AS (SELECT * FROM hit QUALIFY size = max(size) OVER (PARTITION BY doc_id, licence)),
 out AS (
   SELECT doc_id, string_agg(rule || ':' || first || ':' || last, ',' ORDER BY rule || ':' || first || ':' || last) AS rules,
