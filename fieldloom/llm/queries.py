@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, secrets, shards, toxicity
+from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, near_dup, secrets, shards, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.get("copies", F.lit(0))["position"]).alias("first_position"))
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op8_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.licence_hits(table(spark, folder, "documents"))
     rules = F.transform("matches", lambda m: F.concat_ws(":", m["rule"], m["first"].cast("string"), m["last"].cast("string")))
@@ -87,6 +91,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_licence_scan": op8_licence_scan,
     "op9_toxicity": op9_toxicity,
 }
