@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the cut of a classifier fitted on the labelled ones; texts without words stay."""
-    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("toxic_score") < toxicity.CUT).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    scored = toxicity.toxicity(rows, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("toxic_score") < toxicity.CUT).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

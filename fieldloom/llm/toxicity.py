@@ -142,7 +142,7 @@ def train(texts: list[bytes], labels: np.ndarray, checked: np.ndarray, steps: in
             doc_of += [d] * (-(-len(ids) // STRETCH))
             count = len(doc_of)
     if not count:
-        return train([b""], np.zeros(0, np.int64), np.zeros(0, bool))
+        return train([], np.zeros(0, np.int64), np.zeros(0, bool))
     word, stretch_of, doc_of = np.concatenate(word), np.concatenate(stretch_of), np.array(doc_of)
     stream = np.frombuffer(b" " + b" ".join(vocabulary) + b" ", np.uint8)
     first, last = word_places(stream)
@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_clean: int = ROWS_CLEAN, rows_t
         yield pd.DataFrame({"model": [model.packed()]})
 
     row = sample.select("text", "toxic", "draw").repartition(1).mapInPandas(learn, "model binary").first()
-    return Model.unpacked(bytes(row[0]))
+    return Model.unpacked(bytes(row[0])) if row else train([], np.zeros(0, np.int64), np.zeros(0, bool))
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
