@@ -167,17 +167,16 @@ def point_union(t: Tables) -> DataFrame:
 
 @query(
     "coalesce_priority",
-    f"""{_UNION} SELECT x, y, coalesce(lc_name_lu, lc_name_other, lc_name_more) AS lc_name,
-          coalesce(Field_size_lu, CAST(Field_size_other AS VARCHAR), CAST(Field_size_more AS VARCHAR)) AS Field_size,
-          coalesce(Field_size_lu, CAST(Field_size_other AS VARCHAR)) AS Field_size_literal,
-          CASE coalesce(Field_size_lu, CAST(Field_size_other AS VARCHAR), CAST(Field_size_more AS VARCHAR))
-            WHEN 'Small' THEN 5 WHEN 'Medium' THEN 10 WHEN 'Large' THEN 20
-            ELSE coalesce(Field_size_other, Field_size_more, 10) END::DOUBLE AS metres
+    f"""{_UNION} SELECT x, y, coalesce(lc_name_more, lc_name_lu, lc_name_other) AS lc_name,
+          coalesce(CAST(Field_size_more AS VARCHAR), Field_size_lu, CAST(Field_size_other AS VARCHAR)) AS Field_size,
+          coalesce(CAST(Field_size_more AS VARCHAR), Field_size_lu) AS Field_size_literal,
+          coalesce(Field_size_more, CASE Field_size_lu WHEN 'Small' THEN 5 WHEN 'Medium' THEN 10 WHEN 'Large' THEN 20 END,
+            Field_size_other, 10)::DOUBLE AS metres
         FROM u""",
 )
 def coalesce_priority(t: Tables) -> DataFrame:
-    size = [F.col(f"Field_size_{s}").cast("string") for s in ("lu", "other", "more")]
-    name = [F.col(f"lc_name_{s}") for s in ("lu", "other", "more")]
+    size = [F.col(f"Field_size_{s}").cast("string") for s in ("more", "lu", "other")]
+    name = [F.col(f"lc_name_{s}") for s in ("more", "lu", "other")]
     return _layers(t).select(
         "x", "y",
         E.coalesce_layers(*name).alias("lc_name"),
@@ -237,13 +236,13 @@ def clean_columns(t: Tables) -> DataFrame:
          SELECT *, nullif(regexp_extract(path, '(\\d+-\\d+(-part[12])?)\\.tif$', 1), '') AS grid FROM v_files)
        WHERE grid IS NOT NULL AND (kind, grid) NOT IN (
          SELECT kind, nullif(regexp_extract(path, '(\\d+-\\d+(-part[12])?)\\.tif$', 1), '') FROM v_files
-         WHERE event_id % 3 = 0 AND event_id % 7 <> 0)""",
+         WHERE event_id % 3 = 0 AND event_id % 7 <> 0 AND event_id % 5 > 1)""",
 )
 def pending_tiles(t: Tables) -> DataFrame:
     named = N.filename_meta(V.files(t), "path").where(F.col("grid").isNotNull())
     wanted = named.select("band", "grid").distinct()
-    # every third file is taken as written, those of even number as too small to count
-    done = named.where(F.col("event_id") % 3 == 0).select("band", "grid", F.lit(2).alias("bytes"))
+    # every third file is taken as written; two of five are too small to count
+    done = named.where(F.col("event_id") % 3 == 0).select("band", "grid", (F.col("event_id") % 5).alias("bytes"))
     return N.pending(wanted, done, ["band", "grid"], min_bytes=1)
 
 
