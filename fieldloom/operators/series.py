@@ -45,28 +45,25 @@ def median_composite(
     return group_median(clean, [*cell, band, slot], value, value, hot_rows, biggest=biggest)
 
 
-def slot_range(first: dt.date | None, last: dt.date | None, step: str = "day", max_slots: int = 4_000) -> list[dt.date]:
-    """All slots from the first to the last one."""
-    slots: list[dt.date] = []
-    current = first
-    while current is not None and current <= last:
-        slots.append(current)
-        if len(slots) > max_slots:
-            raise ValueError(f"more than {max_slots} slots between {first} and {last}")
-        if step == "day":
-            current = current + dt.timedelta(days=1)
-        else:
-            current = (current.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
-    return slots
-
-
-def slot_calendar(table: DataFrame, slot: str, step: str = "day") -> list[dt.date]:
+def slot_range(first: dt.date | None, last: dt.date | None, step: str = "day") -> Column:
+    """All slots from the first to the last one, as an array column."""
+    if first is None:
+        return F.array().cast("array<date>")
+    if step == "day":
+        return F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 DAY"))
+    second = (first.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+    if second > last:
+        return F.array(F.lit(first))
+    return F.concat(F.array(F.lit(first)), F.sequence(F.lit(second), F.lit(last), F.expr("INTERVAL 1 MONTH")))
+
+
+def slot_calendar(table: DataFrame, slot: str, step: str = "day") -> Column:
     """All slots between the first and the last one present."""
     return slot_range(*table.agg(F.min(slot), F.max(slot)).first(), step)
 
 
 def on_slot_grid(
-    composite: DataFrame, keys: Sequence[str], slot: str, value: str, slots: list[dt.date]
+    composite: DataFrame, keys: Sequence[str], slot: str, value: str, slots: Column
 ) -> DataFrame:
     """One row per series and slot, null where the composite has no value.
 
@@ -75,8 +72,7 @@ def on_slot_grid(
     held = composite.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(slot), F.col(value)))).alias("_held")
     )
-    calendar = F.array(*[F.lit(s) for s in slots])
-    spread = held.select(*keys, "_held", F.posexplode(calendar).alias("pos", slot))
+    spread = held.select(*keys, "_held", F.posexplode(slots).alias("pos", slot))
     return spread.select(*keys, slot, "pos", F.col("_held")[F.col(slot)].alias(value))
 
 
@@ -198,18 +194,16 @@ def filled_series(
     # the rows multiply by the calendar after this shuffle, so its task count comes
     # from the counting pass rather than from the size the engine measures before
     spark = pixels.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tasks = min(most, max(spark.sparkContext.defaultParallelism, math.ceil(values / VALUES_PER_TASK)))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(values / VALUES_PER_TASK))
     by_cell = composite.repartition(tasks, *cell)
     grid = on_slot_grid(by_cell, [*cell, band], slot, value, slot_range(first, last, step))
     return interpolate(grid, [*cell, band], value)
 
 
-def split_stack(stacks: DataFrame, keys: Sequence[str], stack: str, slots: list[dt.date]) -> DataFrame:
+def split_stack(stacks: DataFrame, keys: Sequence[str], stack: str, slots: Column) -> DataFrame:
     """A cell's multi-slot array to one row per slot."""
-    calendar = F.array(*[F.lit(s) for s in slots])
     return stacks.select(*keys, F.posexplode(stack).alias("pos", "value")).select(
-        *keys, "pos", F.get(calendar, F.col("pos")).alias("slot"), "value"
+        *keys, "pos", F.get(slots, F.col("pos")).alias("slot"), "value"
     )
 
 

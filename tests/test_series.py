@@ -149,5 +149,7 @@ def test_user_statistic(spark):
 
 def test_monthly_calendar(spark):
     df = spark.createDataFrame([(dt.date(2023, 1, 1),), (dt.date(2023, 8, 1),)], "slot date")
-    slots = S.slot_calendar(df, "slot", "month")
+    slots = spark.range(1).select(S.slot_calendar(df, "slot", "month")).first()[0]
     assert len(slots) == 8 and slots[1] == dt.date(2023, 2, 1)
+    long = S.slot_range(dt.date(1950, 1, 1), dt.date(2023, 12, 31))  # more than 11 years of days
+    assert spark.range(1).select(F.size(long)).first()[0] == 27_028
