@@ -145,7 +145,7 @@ def hex_grid(bounds: DataFrame, side: float, pad: float = 20) -> DataFrame:
     rows = F.ceil((F.col("max_y") - F.col("min_y")) / (math.sqrt(3) * side)).cast("int")
     wide = b.select("*", F.explode(F.sequence(F.lit(0), cols)).alias("hex_col"))
     odd = F.pmod(F.col("hex_col"), F.lit(2))
-    cells = wide.select("*", F.explode(F.sequence(F.lit(0), rows + odd)).alias("hex_row"))
+    cells = wide.repartition("hex_col").select("*", F.explode(F.sequence(F.lit(0), rows + odd)).alias("hex_row"))
     return cells.select(
         "hex_col",
         "hex_row",
@@ -160,7 +160,7 @@ def square_grid(bounds: DataFrame, side: float, pad: float = 20) -> DataFrame:
     b = b.toDF(*BOUNDS)
     count = {a: F.ceil((F.col(f"max_{a}") - F.col(f"min_{a}")) / side).cast("int") for a in "xy"}
     wide = b.select("*", F.explode(F.sequence(F.lit(-1), count["x"])).alias("grid_col"))
-    cells = wide.select("*", F.explode(F.sequence(F.lit(-1), count["y"])).alias("grid_row"))
+    cells = wide.repartition("grid_col").select("*", F.explode(F.sequence(F.lit(-1), count["y"])).alias("grid_row"))
     return cells.select(
         "grid_col",
         "grid_row",

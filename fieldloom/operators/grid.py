@@ -19,11 +19,14 @@ def point_pixel_join(
 ) -> DataFrame:
     """Value of the pixel under each point.
 
-    An equi-join on (row, col); a small side is broadcast by its measured size,
-    and a cell with very many points is split by the adaptive skew join.
+    Pixels are first cut to the cells that have points: a semi join from the pixels,
+    whose other side Spark broadcasts when it measures small, so that pixels are not
+    shuffled.  The few that are left meet the points.
     """
     row, col = pixel_of(F.col("x"), F.col("y"), x0, y0, size)
-    return points.select("*", row.alias("row"), col.alias("col")).join(pixels, ["row", "col"], how)
+    placed = points.select("*", row.alias("row"), col.alias("col"))
+    hit = pixels.join(placed.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    return placed.join(hit, ["row", "col"], how)
 
 
 def disc_pixels(points: DataFrame, key: str, radius: str, x0: float, y0: float, size: float) -> DataFrame:

@@ -208,24 +208,25 @@ def substring_join(
     name: str,
     rank: str | None = None,
     first: int | None = None,
-    max_names: int = 10_000,
 ) -> DataFrame:
     """Rows (name, path) for every name contained in a path; unmatched names stay.
 
-    ``first`` keeps that many names in the order of ``rank``.  The names are a short
-    ranked list: they become one array literal, and each path row filters it.
-    Paths are neither shuffled nor collected.
+    ``first`` keeps that many names in the order of ``rank``.  A path gives its
+    pieces of each length that a name has, and those meet the names by an equality
+    join, whatever their number; only the distinct lengths reach the driver.
     """
     if first is not None:
         names = names.orderBy(rank, name).limit(first)
     names = names.select(name)
-    found = names.limit(max_names + 1).collect()
-    if len(found) > max_names:
-        raise ValueError(f"more than {max_names} names; join on an extracted name instead")
-    listed = F.array(*[F.lit(r[0]) for r in found]) if found else F.array().cast("array<string>")
-    hits = paths.select(
-        F.explode(F.filter(listed, lambda n: F.contains(F.col(path), n))).alias(name), path
-    )
+    lengths = [r[0] for r in names.select(F.length(name)).distinct().na.drop().collect()]
+    none = F.array().cast("array<string>")
+
+    def pieces(n: int) -> Column:
+        last = F.length(path) - n + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(path), i, F.lit(n)))).otherwise(none)
+
+    parts = F.array_distinct(F.concat(none, *[pieces(n) for n in lengths]))
+    hits = paths.select(path, F.explode(parts).alias(name)).join(names, name).select(name, path)
     missing = names.join(hits.select(name).distinct(), name, "left_anti")
     return hits.unionByName(missing, allowMissingColumns=True)
 

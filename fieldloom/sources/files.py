@@ -30,12 +30,12 @@ def read_parquet(spark: SparkSession, path: str, name_glob: str | None = None) -
 def write_tiles(df: DataFrame, path: str, by: Sequence[str] = ("band", "tile")) -> None:
     """Snappy Parquet, one folder per band and tile; only touched folders are replaced.
 
-    Rows are spread by the folder keys and a salt, so that one large tile is
-    written by several tasks.
+    Rows are gathered by the folder keys into partitions of about one size; a large
+    tile becomes several of them, as many as its rows need.
     """
-    salted = df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    gathered = df.hint("rebalance", *by)
     (
-        salted.write.mode("overwrite")
+        gathered.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .partitionBy(*by)
