@@ -19,23 +19,28 @@ from pyspark.sql import functions as F
 from fieldloom.ml.prep import assemble, impute_mean, label_table, standardize
 from fieldloom.operators.metrics import SCORERS, cluster_coassign, fold_scores, label_uncertainty, mean_scores
 from fieldloom.operators.sampling import fold_rounds, group_folds
-from fieldloom.operators.tables import best_trial, trial_params
+from fieldloom.operators.tables import CLASSIFIER_PREFIX, best_trial, trial_params
 from fieldloom.session import reliable
 
-MAX_TREE_DEPTH = 30
+MAX_TREE_DEPTH = 30  # the library's own limit
 
 
-def classifier(name: str, params: Mapping, seed: int = 42, weight: str | None = None, **columns) -> Estimator:
+def classifier(
+    name: str, params: Mapping, seed: int = 42, weight: str | None = None, rows: float | None = None, **columns
+) -> Estimator:
     """An estimator from the workflow's parameter names.
 
-    Boosting and the linear machine are binary here and run one against the rest;
-    splitting rules that have no counterpart (number of leaves, minimum rows to
-    split, kernels) are ignored.
+    Boosting and the linear machine are binary here and run one against the rest.
+    The linear machine's loss is averaged over the training rows, so its C needs
+    their number (or sum of weights) ``rows``: the regularisation is 1 / (C * rows).
+    Deeper trees than the library grows are refused.
     """
     common = {"featuresCol": columns.get("features", "features"), "labelCol": columns.get("label", "lc")}
     weighted = {**common, **({"weightCol": weight} if weight else {})}
     p = dict(params)
-    depth = min(int(p.get("max_depth", 5)), MAX_TREE_DEPTH)
+    depth = int(p.get("max_depth", 5))
+    if depth > MAX_TREE_DEPTH:
+        raise ValueError(f"max_depth {depth} is above the library's limit of {MAX_TREE_DEPTH}")
     if name == "RandomForest":
         impurity = {"log_loss": "entropy"}.get(p.get("criterion", "gini"), p.get("criterion", "gini"))
         return RandomForestClassifier(
@@ -52,15 +57,17 @@ def classifier(name: str, params: Mapping, seed: int = 42, weight: str | None =
             maxDepth=depth,
             maxIter=int(p.get("n_estimators", 20)),
             stepSize=float(p.get("learning_rate", 0.1)),
-            subsamplingRate=float(p.get("bagging_fraction", 1.0)),
+            subsamplingRate=float(p.get("bagging_fraction", 1.0)) if int(p.get("bagging_freq", 0)) else 1.0,
             minInstancesPerNode=int(p.get("min_data_in_leaf", 1)),
             seed=seed,
             **({"weightCol": weight} if weight else {}),
         )
         return OneVsRest(classifier=base, parallelism=4, **weighted)
     if name == "SVC":
+        if not rows:
+            raise ValueError("the linear machine needs the number of its training rows")
         base = LinearSVC(
-            regParam=min(1.0 / float(p.get("C", 1.0)), 1e10),
+            regParam=1.0 / (float(p.get("C", 1.0)) * rows),
             maxIter=int(p.get("max_iter", 20)),
             **({"weightCol": weight} if weight else {}),
         )
@@ -92,12 +99,18 @@ def in_threads(jobs: Sequence[Callable], parallelism: int = 8) -> list:
         pool.close()
 
 
-def held_out(rows: DataFrame, make: Callable[[], Estimator], folds: int, fold: str, keep: Sequence[str], parallelism: int = 8) -> DataFrame:
-    """Predictions of each fold by a model fitted on the others."""
+def training_rows(rows: DataFrame, weight: str | None) -> float:
+    """Number of training rows, or the sum of their weights."""
+    return float(rows.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 0)
+
+
+def held_out(rows: DataFrame, make: Callable[..., Estimator], folds: int, fold: str, keep: Sequence[str], parallelism: int = 8) -> DataFrame:
+    """Predictions of each fold by a model fitted on the others; ``make`` gets the training rows."""
 
     def one(i: int) -> Callable[[], DataFrame]:
         def run() -> DataFrame:
-            model = make().fit(rows.where(F.col(fold) != i))
+            others = rows.where(F.col(fold) != i)
+            model = make(others).fit(others)
             return model.transform(rows.where(F.col(fold) == i)).select(*keep, fold, "lc", "prediction")
 
         return run
@@ -110,7 +123,7 @@ def oos_predictions(
 ) -> DataFrame:
     """Held-out predictions over group-stratified folds."""
     folded = reliable(group_folds(rows, group, label, folds, seed))
-    return held_out(folded, make, folds, "fold", [key])
+    return held_out(folded, lambda _: make(), folds, "fold", [key])
 
 
 def oos_scores(rows: DataFrame, make: Callable[[], Estimator], key: str, label: str, group: str, folds: int = 3, seed: int = 42) -> DataFrame:
@@ -119,24 +132,30 @@ def oos_scores(rows: DataFrame, make: Callable[[], Estimator], key: str, label:
 
 
 def uncertainty_rounds(
-    rows: DataFrame, make: Callable[[int], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 8
+    rows: DataFrame, make: Callable[[], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 8
+) -> DataFrame:
+    """Each row predicted once per round, by one kind of model and other folds; modal prediction and share of matches."""
+    return label_uncertainty(round_predictions(rows, make, key, label, rounds, folds, parallelism), key, "prediction", "lc")
+
+
+def round_predictions(
+    rows: DataFrame, make: Callable[[], Estimator], key: str, label: str, rounds: int = 10, folds: int = 5, parallelism: int = 8
 ) -> DataFrame:
-    """Each row predicted once per round; modal prediction and share of matches."""
+    """(key, round, fold, prediction, lc) of every row and round."""
     folded = reliable(fold_rounds(rows, label, key, folds, rounds))
 
     def one(r: int, i: int) -> Callable[[], DataFrame]:
         fold = F.get("folds", F.lit(r))
 
         def run() -> DataFrame:
-            model = make(r).fit(folded.where(fold != i))
+            model = make().fit(folded.where(fold != i))
             held = model.transform(folded.where(fold == i))
-            return held.select(key, F.lit(r * folds + i).alias("round"), "prediction", "lc")
+            return held.select(key, F.lit(r).alias("round"), F.lit(i).alias("fold"), "prediction", "lc")
 
         return run
 
     jobs = [one(r, i) for r in range(rounds) for i in range(folds)]
-    long = reduce(DataFrame.unionByName, in_threads(jobs, parallelism))
-    return label_uncertainty(reliable(long), key, "prediction", "lc")
+    return reliable(reduce(DataFrame.unionByName, in_threads(jobs, parallelism)))
 
 
 def kmeans_coassign(
@@ -160,22 +179,21 @@ def kmeans_coassign(
 
 # --- search -------------------------------------------------------------------
 
-# Search ranges of the workflow; fixed values.
+# Search ranges of the workflow; fixed values.  Depths end at the library's limit, and
+# what it cannot use is left out (leaves, rows to split, bagging every few rounds).
 SEARCH_SPACE = {
     "RandomForest": {
-        "max_depth": range(2, 33),
+        "max_depth": range(2, MAX_TREE_DEPTH + 1),
         "n_estimators": range(100, 1001, 100),
-        "min_samples_split": range(2, 11),
         "min_samples_leaf": range(1, 11),
         "max_features": ["auto", "sqrt"],
         "criterion": ["gini", "entropy", "log_loss"],
     },
     "LGBM": {
-        "max_depth": range(10, 101),
+        "max_depth": range(10, MAX_TREE_DEPTH + 1),
         "learning_rate": (0.01, 0.1),
         "bagging_fraction": (0.1, 1.0),
-        "bagging_freq": range(0, 11),
-        "num_leaves": range(10, 101),
+        "bagging_freq": range(0, 2),
         "min_data_in_leaf": range(10, 201),
     },
     "SVC": {
@@ -183,7 +201,6 @@ SEARCH_SPACE = {
         "kernel": ["linear"],
     },
 }
-PREFIX = {"RandomForest": "rf", "LGBM": "lgbm", "SVC": "svc"}
 
 
 def draw_params(space: Mapping, rng: random.Random) -> dict:
@@ -249,9 +266,9 @@ def run_trials(
     def one(number: int, name: str, params: Mapping) -> Callable[[], tuple]:
         def run() -> tuple:
             named = {("C" if k == "c" else k): v for k, v in params.items()}
-            out = held_out(folded, lambda: classifier(name, named, seed, weight), folds, "fold", [key], parallelism=1)
+            out = held_out(folded, lambda others: classifier(name, named, seed, weight, training_rows(others, weight) if name == "SVC" else None), folds, "fold", [key], parallelism=1)
             value = SCORERS[scoring](fold_scores(out, "lc", "prediction")).first()[0]
-            return number, value, name, {f"{PREFIX[name]}_{k}": str(v) for k, v in params.items()}
+            return number, value, name, {f"{CLASSIFIER_PREFIX[name]}_{k}": str(v) for k, v in params.items()}
 
         return run
 
@@ -270,11 +287,13 @@ def load_trials(spark: SparkSession, path: str, study: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("study") == study).drop("study")
 
 
-def best_classifier(trials: DataFrame, wanted: str | None = None, seed: int = 42, weight: str | None = None) -> Estimator:
+def best_classifier(
+    trials: DataFrame, wanted: str | None = None, seed: int = 42, weight: str | None = None, rows: float | None = None
+) -> Estimator:
     """The estimator of the best trial, overall or of one classifier."""
     pool = trials if wanted is None else trials.where(F.col("classifier") == wanted)
     row = trial_params(best_trial(pool, "value", "number")).first()
-    return classifier(row["classifier"], row["params"], seed, weight)
+    return classifier(row["classifier"], row["params"], seed, weight, rows)
 
 
 # --- maps ---------------------------------------------------------------------

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.functions.draws import DRAW_BITS, draw
 from fieldloom.operators.scale import group_quantiles, pin_small
 from fieldloom.session import reliable
 
@@ -63,26 +62,18 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def bounded_samples(df: DataFrame, key: str, label: str, trees: int, sample: int, seed: int) -> DataFrame:
     """Rows of every (class, tree): at most ``sample`` each.
 
-    A large class is thinned by a draw to about twice the rows needed, then dealt
-    out to the trees; a small one is sampled anew for every tree.
+    A row joins a tree if their draw is below 2 * sample / class size; of those the
+    ``sample`` smallest draws stay.  One rule for classes of any size; a row is only
+    multiplied by the trees it joins.
     """
-    need = trees * sample
     sizes, _ = pin_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")))
-    share = F.least(F.lit(1.0), F.lit(2.0 * need) / F.col("_size"))
-    drawn = df.join(sizes, label).withColumn("_draw", draw(seed, key))
-    pool = drawn.where(F.col("_draw") < share * float(2**DRAW_BITS))
-    nth = F.row_number().over(Window.partitionBy(label).orderBy("_draw", key))
-    large = (
-        pool.where(F.col("_size") >= need)
-        .withColumn("_nth", nth)
-        .where(F.col("_nth") <= need)
-        .withColumn("tree", F.pmod(F.col("_nth") - 1, F.lit(trees)).cast("int"))
-    )
-    each = pool.where(F.col("_size") < need).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = Window.partitionBy(label, "tree").orderBy(F.xxhash64(key, "tree", F.lit(seed)), key)
-    small = each.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= sample)
-    columns = [key, label, "tree", "features"]
-    return large.select(*columns).unionByName(small.select(*columns))
+    share = F.least(F.lit(1.0), F.lit(2.0 * sample) / F.col("_size"))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    draws = F.transform(numbers, lambda t: F.struct((F.xxhash64(F.lit(seed), F.col(key), t) / F.lit(2.0**64) + 0.5).alias("draw"), t.alias("tree")))
+    joins = df.join(sizes, label).withColumn("_joins", F.filter(draws, lambda d: d["draw"] < share))
+    each = joins.select(key, label, "features", F.explode("_joins").alias("_j")).select(key, label, "features", "_j.*")
+    nth = F.row_number().over(Window.partitionBy(label, "tree").orderBy("draw", key))
+    return each.withColumn("_nth", nth).where(F.col("_nth") <= sample).select(key, label, "tree", "features")
 
 
 def build_forests(df: DataFrame, key: str, label: str, trees: int, sample: int, seed: int) -> DataFrame:

@@ -119,20 +119,20 @@ def mixed_table(t: Tables) -> DataFrame:
 
 # --- models -------------------------------------------------------------------
 
-TREES = {"n_estimators": 20, "max_depth": 5}
+TREES = {"n_estimators": 100, "max_depth": L.MAX_TREE_DEPTH}
 
 
 def _rows(t: Tables) -> tuple[DataFrame, DataFrame]:
     return L.training_table(V.features(t, wide=True), "id", "lc_name", COLUMNS, ["field_id", "Field_size"])
 
 
-def _forest(seed: int = 42):
-    return L.classifier("RandomForest", TREES, seed, "Field_size")
+def _forest(weight: str | None = "Field_size"):
+    return L.classifier("RandomForest", TREES, 42, weight)
 
 
 def _fit_predict(t: Tables, name: str, params: dict) -> DataFrame:
     rows, codes = _rows(t)
-    model = L.classifier(name, params, weight="Field_size").fit(rows)
+    model = L.classifier(name, params, weight="Field_size", rows=L.training_rows(rows, "Field_size")).fit(rows)
     predicted = model.transform(rows).select("id", "lc_name", F.col("prediction").cast("int").alias("lc"))
     return predicted.join(codes.withColumnRenamed("lc_name", "pred"), "lc", "left").select("id", "lc_name", "pred")
 
@@ -144,12 +144,12 @@ def rf_predict(t: Tables) -> DataFrame:
 
 @query("gbt_predict")
 def gbt_predict(t: Tables) -> DataFrame:
-    return _fit_predict(t, "LGBM", {"n_estimators": 3, "max_depth": 3})
+    return _fit_predict(t, "LGBM", {"n_estimators": 20, "max_depth": 5})
 
 
 @query("svc_predict")
 def svc_predict(t: Tables) -> DataFrame:
-    return _fit_predict(t, "SVC", {"C": 1.0, "max_iter": 5})
+    return _fit_predict(t, "SVC", {"C": 1.0})
 
 
 @query("oos_scores")
@@ -165,8 +165,29 @@ def kmeans_coassign(t: Tables) -> DataFrame:
 
 @query("uncertainty_rounds")
 def uncertainty_rounds(t: Tables) -> DataFrame:
+    """Modal class by name and share of matches of every row, at its point."""
+    rows, codes = _rows(t)
+    votes = L.uncertainty_rounds(rows, lambda: _forest(None), "id", "lc_name")
+    named = votes.withColumn("lc", F.col("modal_pred").cast("int")).join(codes.withColumnRenamed("lc_name", "pred"), "lc", "left")
+    places = V.points(t).select("id", "x", "y")
+    return named.select("id", F.col("pred").alias("modal_pred"), "matching_percentage").join(places, "id", "left")
+
+
+@query("uncertainty_votes", "SELECT id, 10 AS rounds, 10 AS votes FROM v_feat")
+def uncertainty_votes(t: Tables) -> DataFrame:
+    """Every row is predicted once in each of the ten rounds."""
+    rows, _ = _rows(t)
+    small = lambda: L.classifier("RandomForest", {"n_estimators": 5})  # noqa: E731 - the counts do not depend on the model
+    votes = L.round_predictions(rows, small, "id", "lc_name")
+    return votes.groupBy("id").agg(F.countDistinct("round").cast("int").alias("rounds"), F.count("prediction").cast("int").alias("votes"))
+
+
+@query("oos_rows", "SELECT id, 1 AS folds, 1 AS predictions FROM v_feat")
+def oos_rows(t: Tables) -> DataFrame:
+    """Every row is predicted by the one model that did not see its group."""
     rows, _ = _rows(t)
-    return L.uncertainty_rounds(rows, _forest, "id", "lc_name")
+    held = L.oos_predictions(rows, lambda: L.classifier("RandomForest", {"n_estimators": 5}), "id", "lc_name", "field_id")
+    return held.groupBy("id").agg(F.countDistinct("fold").cast("int").alias("folds"), F.count("prediction").cast("int").alias("predictions"))
 
 
 @query("isolation_outliers")

@@ -58,7 +58,7 @@ def test_scores_and_rounds(training):
     one = L.oos_scores(table, make, "id", "lc_name", "grp").first()
     assert one["kappa"] > 0.8 and one["accuracy"] == one["f1_micro"]
     out = L.uncertainty_rounds(
-        table, lambda r: L.classifier("RandomForest", {"n_estimators": 3, "max_depth": 3}, seed=r), "id", "lc_name", rounds=2, folds=3
+        table, lambda: L.classifier("RandomForest", {"n_estimators": 3, "max_depth": 3}), "id", "lc_name", rounds=2, folds=3
     )
     assert out.count() == 360
     assert {r[0] for r in out.select("matching_percentage").distinct().collect()} <= {0.0, 50.0, 100.0}
@@ -67,13 +67,13 @@ def test_scores_and_rounds(training):
 def test_uncertain_rows_predicted_once_per_round(training):
     table, _ = training
     folded = P.stratified_folds(table, "lc_name", "id", 3, seed=1)
-    held = L.held_out(folded, lambda: L.classifier("RandomForest", {"n_estimators": 2}), 3, "fold", ["id"])
+    held = L.held_out(folded, lambda _: L.classifier("RandomForest", {"n_estimators": 2}), 3, "fold", ["id"])
     assert held.count() == held.select("id").distinct().count() == 360
 
 
 @pytest.mark.parametrize("trees,sample", [(10, 256), (4, 16)])
 def test_outlier_share(rows, trees, sample):
-    """The second shape makes the classes large against the pool, so rows are dealt out."""
+    """One sampling rule for classes that are small or large against the trees' samples."""
     df = rows.select("id", "lc_name", F.array(*COLUMNS).alias("features"))
     out = O.isolation_outliers(df, "id", "lc_name", trees=trees, sample=sample)
     assert out.count() == 360
@@ -160,11 +160,13 @@ def test_search_and_best(training, tmp_path, spark):
 def test_other_classifiers(training):
     table, codes = training
     for name, params in (("LGBM", {"n_estimators": 2, "max_depth": 2}), ("SVC", {"C": 1.0, "max_iter": 3})):
-        model = L.classifier(name, params, weight="w").fit(table)
+        model = L.classifier(name, params, weight="w", rows=L.training_rows(table, "w")).fit(table)
         hits = model.transform(table).where(F.col("prediction") == F.col("lc")).count()
         assert hits > 250, name
     with pytest.raises(ValueError):
         L.classifier("other", {})
+    with pytest.raises(ValueError):
+        L.classifier("RandomForest", {"max_depth": L.MAX_TREE_DEPTH + 1})
 
 
 def test_kmeans_counts(rows):
