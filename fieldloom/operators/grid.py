@@ -25,7 +25,7 @@ def point_pixel_join(
     """
     row, col = pixel_of(F.col("x"), F.col("y"), x0, y0, size)
     placed = points.select("*", row.alias("row"), col.alias("col"))
-    hit = pixels.join(placed.select("row", "col").distinct(), ["row", "col"], "left_semi")
+    hit = pixels.join(placed.select("row", "col"), ["row", "col"], "left_semi")
     return placed.join(hit, ["row", "col"], how)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import sampling as P
+from fieldloom.operators import grid as R
 from fieldloom.operators import tables as T
 from fieldloom.operators.scale import add_slice, group_median, group_quantiles, number_rows, pin_small, slice_bounds
 from fieldloom.plans import views as V
@@ -190,3 +191,17 @@ def test_quantile_of_numpy(spark):
     df = spark.createDataFrame([(float(v), 1) for v in x], "v double, k int")
     got = group_quantiles(df, ["k"], "v", {"q": 0.37}, 50).first()["q"]
     assert got == pytest.approx(np.quantile(x, 0.37))
+
+
+def test_point_lookup_leaves_pixels_in_place(spark, tmp_path):
+    rows = [(1, 15.0, 985.0), (2, 15.0, 985.0), (3, 2_000.0, 5.0)]
+    spark.createDataFrame(rows, "id int, x double, y double").write.parquet(str(tmp_path / "points"))
+    points = spark.read.parquet(str(tmp_path / "points"))  # of a size that Spark knows
+    pixels = spark.range(1_000_000).selectExpr("CAST(id DIV 1000 AS INT) AS row", "CAST(id % 1000 AS INT) AS col", "id * 1.0 AS value")
+    looked = R.point_pixel_join(points, pixels, 0.0, 1000.0, 10.0)
+    text = plan(looked)
+    semi = next(line for line in text.splitlines() if "LeftSemi" in line)
+    assert "BroadcastHashJoin" in semi
+    below = text[text.index(semi) :]
+    assert "Exchange hashpartitioning" not in below[: below.index("Range")]
+    assert {r["id"]: r["value"] for r in looked.collect()} == {1: 1001.0, 2: 1001.0, 3: None}
