@@ -194,7 +194,7 @@ def test_quantile_of_numpy(spark):
 
 
 def test_point_lookup_leaves_pixels_in_place(spark, tmp_path):
-    rows = [(1, 15.0, 985.0), (2, 15.0, 985.0), (3, 2_000.0, 5.0)]
+    rows = [(1, 15.0, 985.0), (2, 15.0, 985.0), (3, 20_000.0, 5.0)]
     spark.createDataFrame(rows, "id int, x double, y double").write.parquet(str(tmp_path / "points"))
     points = spark.read.parquet(str(tmp_path / "points"))  # of a size that Spark knows
     pixels = spark.range(1_000_000).selectExpr("CAST(id DIV 1000 AS INT) AS row", "CAST(id % 1000 AS INT) AS col", "id * 1.0 AS value")
