@@ -180,6 +180,22 @@ def hex_grid(t: Tables) -> DataFrame:
     return G.hex_grid(total_bounds(V.points(t)), SIDE)
 
 
+@query(
+    "square_grid",
+    f"""WITH b AS (SELECT min(x) - 20 AS x0, min(y) - 20 AS y0, max(x) + 20 AS x1, max(y) + 20 AS y1 FROM v_points),
+         c AS (SELECT *, unnest(range(-1, CAST(ceil((x1 - x0) / {SIDE}) AS BIGINT) + 1)) AS gc FROM b),
+         r AS (SELECT *, unnest(range(-1, CAST(ceil((y1 - y0) / {SIDE}) AS BIGINT) + 1)) AS gr FROM c)
+       SELECT CAST(gc AS INTEGER) AS grid_col, CAST(gr AS INTEGER) AS grid_row, round(x0 + gc * {SIDE}, 6) AS x, round(y0 + gr * {SIDE}, 6) AS y FROM r""",
+)
+def square_grid(t: Tables) -> DataFrame:
+    return G.square_grid(total_bounds(V.points(t)), SIDE)
+
+
+@query("window_filter", 'SELECT "row", col, round(value, 6) AS value FROM v_px WHERE "row" BETWEEN 10 AND 29 AND col BETWEEN 40 AND 79')
+def window_filter(t: Tables) -> DataFrame:
+    return R.window_filter(V.pixels(t), (10, 29), (40, 79))
+
+
 # --- masks ------------------------------------------------------------------------
 
 cte("v_mask", 'SELECT "row", col, value > 50500 AS flag FROM v_px')

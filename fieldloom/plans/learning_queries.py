@@ -92,6 +92,21 @@ def correlation_pairs(t: Tables) -> DataFrame:
     return P.correlation_pairs(V.features(t, wide=True), COLUMNS)
 
 
+_LIMIT = 0.05
+
+
+@query(
+    "collinear_columns",
+    f"""SELECT DISTINCT 'f' || lpad(CAST(q.i AS VARCHAR), 2, '0') AS dropped
+        FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) p
+        JOIN (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) q
+          ON p.vec_id = q.vec_id AND p.i < q.i GROUP BY p.i, q.i HAVING abs(corr(p.v, q.v)) >= {_LIMIT}""",
+)
+def collinear_columns(t: Tables) -> DataFrame:
+    pairs = P.correlation_pairs(V.features(t, wide=True), COLUMNS)
+    return t.spark.createDataFrame([(c,) for c in P.collinear_columns(pairs, COLUMNS, _LIMIT)], "dropped string")
+
+
 @query("pca_project")
 def pca_project(t: Tables) -> DataFrame:
     return P.pca_project(V.features(t, wide=True), COLUMNS).select("id", "lc_name", "pc1", "pc2")

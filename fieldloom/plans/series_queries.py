@@ -235,3 +235,22 @@ def class_profile(t: Tables) -> DataFrame:
     one = V.full(t).where(F.col("band") == "view")
     labels = V.points(t).select(F.col("id").alias("cell"), "lc_name")
     return S.class_profile(one.join(labels, "cell"), "lc_name", "slot", "value")
+
+
+@query(
+    "monthly_series",
+    """WITH m AS (SELECT cell, band, slot, median(nullif(value, 0)) AS value FROM v_monthly GROUP BY ALL),
+       cal AS (SELECT CAST(g AS DATE) AS slot, CAST(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS pos FROM (
+         SELECT unnest(generate_series((SELECT min(slot) FROM v_monthly), (SELECT max(slot) FROM v_monthly), INTERVAL 1 MONTH)) AS g)),
+       grid AS (SELECT k.cell, k.band, cal.slot, cal.pos, m.value FROM (SELECT DISTINCT cell, band FROM m) k CROSS JOIN cal
+         LEFT JOIN m ON m.cell = k.cell AND m.band = k.band AND m.slot = cal.slot),
+       near AS (SELECT *, last_value(value IGNORE NULLS) OVER pre AS w0, first_value(value IGNORE NULLS) OVER post AS w1,
+           last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER pre AS p0,
+           first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER post AS p1 FROM grid
+         WINDOW pre AS (PARTITION BY cell, band ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                post AS (PARTITION BY cell, band ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+       SELECT cell, band, slot, pos, round(coalesce(value, w0 + (w1 - w0) * (CAST(pos - p0 AS DOUBLE) / (p1 - p0)), w0, w1), 6) AS value FROM near""",
+)
+def monthly_series(t: Tables) -> DataFrame:
+    """The workflow's own step: one slot a month."""
+    return S.filled_series(V.monthly(t), V.CELL, "band", "slot", "value", step="month")

@@ -367,3 +367,19 @@ def band_table(t: Tables, band: str) -> DataFrame:
         )
         .agg(F.sum("value").alias(f"{band}_value"))
     )
+
+
+# monthly observations over several years
+cte(
+    "v_monthly",
+    """SELECT o_custkey % 40 AS cell, o_orderpriority AS band, CAST(date_trunc('month', o_orderdate) AS DATE) AS slot,
+         CAST(round(o_totalprice * 100) AS BIGINT) AS value
+       FROM orders WHERE o_custkey % 5 < 2""",
+)
+
+
+def monthly(t: Tables) -> DataFrame:
+    return t.orders.where(F.col("o_custkey") % 5 < 2).select(
+        (F.col("o_custkey") % 40).alias("cell"), F.col("o_orderpriority").alias("band"),
+        F.trunc("o_orderdate", "month").alias("slot"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("value"),
+    )
