@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geometry as G
-from fieldloom.functions.expressions import field_size_metres
+from fieldloom.functions.expressions import evi, field_size_metres, hue
 from fieldloom.operators import grid as R
+from fieldloom.operators import imagery as I
 from fieldloom.operators import sampling as P
 from fieldloom.plans import views as V
 from fieldloom.plans.registry import Tables, cte, query
@@ -191,9 +192,9 @@ def square_grid(t: Tables) -> DataFrame:
     return G.square_grid(total_bounds(V.points(t)), SIDE)
 
 
-@query("window_filter", 'SELECT "row", col, round(value, 6) AS value FROM v_px WHERE "row" BETWEEN 10 AND 29 AND col BETWEEN 40 AND 79')
+@query("window_filter", 'SELECT "row", col, round(value, 6) AS value FROM v_px WHERE "row" BETWEEN 10 AND 29 AND col BETWEEN 2 AND 60')
 def window_filter(t: Tables) -> DataFrame:
-    return R.window_filter(V.pixels(t), (10, 29), (40, 79))
+    return R.window_filter(V.pixels(t), (10, 29), (2, 60))
 
 
 # --- masks ------------------------------------------------------------------------
@@ -257,6 +258,58 @@ def cloud_shadow(t: Tables) -> DataFrame:
     return R.cloud_shadow(px, ["scene"], "cloud", "dark", "azimuth").select("scene", "row", "col", "shadow")
 
 
+# --- the imagery chain --------------------------------------------------------------
+
+_CHAIN = {"steps": 4, "coarse": 3, "shrink": 2, "grow": 3}
+
+
+def _near_in_scene(radius: int, table: str, flag: str) -> str:
+    return _near(radius, table, flag).replace("SELECT DISTINCT ", "SELECT DISTINCT m.scene, ", 1)
+
+
+cte(
+    "v_clear_px",
+    f"""SELECT p.* FROM v_scene_px p WHERE (p.scene, p."row", p.col) NOT IN (
+         WITH casts AS (SELECT DISTINCT scene, CAST("row" // 3 - round(sin(radians(90 - azimuth)) * d) AS INTEGER) AS r,
+             CAST(col // 3 + round(cos(radians(90 - azimuth)) * d) AS INTEGER) AS c FROM v_scene_px, range(1, 5) k(d) WHERE cloud),
+         fl AS (SELECT px.scene, px."row", px.col, cloud OR (dark AND casts.r IS NOT NULL) AS flag FROM v_scene_px px
+           LEFT JOIN casts ON casts.scene = px.scene AND casts.r = px."row" // 3 AND casts.c = px.col // 3),
+         bad AS ({_near_in_scene(2, "fl", "NOT flag")}),
+         er AS (SELECT fl.scene, fl."row", fl.col, flag AND b."row" IS NULL AS e FROM fl
+           LEFT JOIN bad b ON b.scene = fl.scene AND b."row" = fl."row" AND b.col = fl.col),
+         gr AS ({_near_in_scene(3, "er", "e")})
+         SELECT scene, "row", col FROM gr)""",
+)
+_CELLS = """SELECT k."row", k.col, k.slot, CAST(trunc(least(greatest(coalesce({value}, 0), {low}), {high})) AS {kind}) AS value
+    FROM (SELECT DISTINCT "row", col, slot FROM v_scene_px) k LEFT JOIN m ON m."row" = k."row" AND m.col = k.col AND m.slot = k.slot"""
+
+
+@query(
+    "evi_composite",
+    """WITH m AS (SELECT "row", col, slot, median(10000 * ((2.5 * (B8 / 10000 - B4 / 10000)) / nullif(B8 / 10000 + 6 * (B4 / 10000) - 7.5 * (B2 / 10000) + 1, 0))) AS v
+       FROM v_clear_px GROUP BY ALL) """
+    + _CELLS.format(value="v", low=-32768, high=32767, kind="SMALLINT"),
+)
+def evi_composite(t: Tables) -> DataFrame:
+    """Clouds and shadows, mask, index of each pixel, monthly median, stored as a small integer."""
+    bands = {"v": 10000 * evi("B8", "B4", "B2")}
+    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, F.col("v"), **_CHAIN)
+
+
+@query(
+    "hue_composite",
+    """WITH b AS (SELECT "row", col, slot, median(B4) / 10000 AS r, median(B3) / 10000 AS g, median(B2) / 10000 AS b FROM v_clear_px GROUP BY ALL),
+       h AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS span FROM b),
+       s AS (SELECT *, CASE WHEN hi = r THEN (g - b) / nullif(span, 0) WHEN hi = g THEN 2 + (b - r) / nullif(span, 0) ELSE 4 + (r - g) / nullif(span, 0) END / 6 AS x FROM h),
+       m AS (SELECT *, 10000 * CASE WHEN span = 0 THEN 0.0 ELSE x - floor(x) END AS v FROM s) """
+    + _CELLS.format(value="v", low=0, high=65535, kind="INTEGER"),
+)
+def hue_composite(t: Tables) -> DataFrame:
+    """The same with the median of the bands first and the hue of the medians."""
+    bands = {n: F.col(n) for n in ("B4", "B3", "B2")}
+    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, 10000 * hue("B4", "B3", "B2"), "uint16", **_CHAIN)
+
+
 # --- folds and samples ------------------------------------------------------------
 
 _DRAW = "('0x' || substr(md5('{0}:' || {1}), 1, 15))::BIGINT"
