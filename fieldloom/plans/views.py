@@ -269,7 +269,9 @@ def features(t: Tables, wide: bool = False, columns: list[str] | None = None) ->
     if not wide:
         return t.embeddings.select(*base, "embedding")
     names = columns or FEATURES
-    return t.embeddings.select(
+    other = F.raise_error(F.concat(F.lit(f"{N_FEATURES} features expected, found "), F.size("embedding").cast("string")))
+    checked = F.when(F.size("embedding") != N_FEATURES, other.cast("array<float>")).otherwise(F.col("embedding"))
+    return t.embeddings.withColumn("embedding", checked).select(
         *base, *[F.get("embedding", F.lit(FEATURES.index(n))).cast("double").alias(n) for n in names]
     )
 
