@@ -17,8 +17,9 @@ from fieldloom.llm.common import cut
 
 #: Least length of a repeat, and bytes of the anchors by which repeats find each other.
 LENGTH, ANCHOR = 400, 200
-#: Bytes of text that are searched for anchors at a time, and of fragments sorted at a time.
-PIECE, BIN_BYTES = 1 << 20, 4 << 20
+#: Bytes of text that are searched for anchors at a time, and of fragments sorted at a time; an anchor with
+#: more than LARGE times the latter is counted instead.
+PIECE, BIN_BYTES, LARGE = 1 << 20, 1 << 20, 4
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     3. Of the other anchors each distinct fragment is fetched once, with the number of its places. Anchors are
        dealt to bins of about ``bin_bytes``; a bin's suffix array and adjacent common prefixes give the
        strings that occur twice.
-    4. An anchor with more than ``bin_bytes`` of distinct fragments is no job for one task: its strings are
+    4. An anchor with more than ``LARGE * bin_bytes`` of distinct fragments is no job for one task: its strings are
        counted by digest instead, pre-aggregated, with the same result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -250,7 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     weights = fetched.groupBy("anchor").agg(F.sum(F.length("bytes").cast("long")).alias("bytes"))
     total = weights.agg(F.sum("bytes")).first()[0] or 0
     bins = max(1, math.ceil(total / bin_bytes))
-    large = weights.where(F.col("bytes") > bin_bytes).select("anchor")
+    large = weights.where(F.col("bytes") > LARGE * bin_bytes).select("anchor")
     small = fetched.join(large, "anchor", "left_anti").withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:

@@ -429,7 +429,7 @@ def test_suffix_order_and_prefixes():
             assert lcp[i] == next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), length)
 
 
-@pytest.mark.parametrize(("length", "anchor", "bin_bytes"), [(40, 20, 1 << 20), (40, 20, 300), (16, 8, 2000)])
+@pytest.mark.parametrize(("length", "anchor", "bin_bytes"), [(40, 20, 1 << 20), (40, 20, 75), (16, 8, 500)])
 def test_repeats(spark, edge, length, anchor, bin_bytes):
     rng = random.Random(4)
     base = ["".join(rng.choice("abcd ") for _ in range(200)) for _ in range(6)]
