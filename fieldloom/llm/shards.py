@@ -7,6 +7,7 @@ import hashlib
 import json
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
@@ -84,25 +85,46 @@ class Shards:
         return f"{self.folder}/shard-{number:06d}.bin"
 
 
-def token_table(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Every document's tokens, made once and written: file, nth, doc_id, pieces, ids.
+def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
+    """All sequences, made once and written: file, nth (its place in the file), doc_ids, starts, ids.
 
-    ``ids`` are the whole text's tokens and an end mark as little-endian 16-bit numbers, ``pieces`` the
-    sequences they fill, ``nth`` the sequences of the rows before it in its file.
+    The tokens of a task's documents, each with an end mark, stand one after another and are cut every
+    ``sequence`` ids; only the task's last sequence is shorter. ``doc_ids`` are the documents in it and
+    ``starts`` where they begin (below 0: in an earlier sequence). ``ids`` are little-endian 16-bit numbers.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t, so_far = encoder(tokenizer), 0
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, nth, file = encoder(tokenizer), 0, 0
+        rest, names, begins = np.zeros(0, "<u2"), [], np.zeros(0, np.int64)
+
+        def cut_off(n: int) -> pd.DataFrame:
+            """The first n sequences of what is held; the rest stays."""
+            nonlocal rest, names, begins, nth
+            rows = []
+            for k in range(n):
+                low = max(int(np.searchsorted(begins, k * sequence, "right")) - 1, 0)
+                high = int(np.searchsorted(begins, (k + 1) * sequence, "left"))
+                ids = rest[k * sequence : (k + 1) * sequence].tobytes()
+                rows.append((file, nth + k, names[low:high], (begins[low:high] - k * sequence).tolist(), ids))
+            done = n * sequence
+            low = max(int(np.searchsorted(begins, done, "right")) - 1, 0)
+            rest, names, begins, nth = rest[done:], names[low:], begins[low:] - done, nth + n
+            return pd.DataFrame(rows, columns=["file", "nth", "doc_ids", "starts", "ids"])
+
         for batch in batches:
-            ids = [np.array([*t.encode_ordinary(x), END], "<u2").tobytes() for x in batch["text"]]
-            pieces = np.array([-(-len(x) // (2 * sequence)) for x in ids], np.int64)
-            nth = so_far + np.cumsum(pieces) - pieces
-            so_far += int(pieces.sum())
-            yield pd.DataFrame({"file": batch["file"], "nth": nth, "doc_id": batch["doc_id"].astype("Int64"), "pieces": pieces, "ids": ids})
+            file = int(batch["file"].iloc[0]) if len(batch) else file
+            new = [np.array([*t.encode_ordinary(x), END], "<u2") for x in batch["text"]]
+            size = np.array([len(x) for x in new], np.int64)
+            begins = np.concatenate([begins, len(rest) + np.cumsum(size) - size])
+            names = names + [None if x is None or x != x else int(x) for x in batch["doc_id"]]
+            rest = np.concatenate([rest, *new])
+            yield cut_off(len(rest) // sequence)
+        if len(rest):
+            yield cut_off(1)
 
     rows = texts.withColumn("file", F.spark_partition_id())
-    return cut(rows.mapInPandas(encoded, "file int, nth long, doc_id long, pieces long, ids binary"), "tokens")
+    return cut(rows.mapInPandas(pack, "file int, nth long, doc_ids array<long>, starts array<long>, ids binary"), "sequences", "gzip")
 
 
 def open_store(folder: str):
@@ -119,36 +141,32 @@ def write_shards(
 ) -> tuple[Shards, DataFrame]:
     """Write all documents as fixed-stride shards in training order; the manifest and an index of the sequences.
 
-    Index: slot, shard, byte_offset, doc_id, part, n_tokens, ids_sha256. Null and empty texts are one sequence
-    that holds the end mark; ids may be null or repeated, each row has sequences of its own; an empty table
-    gives an empty index and no files; other columns are not read.
+    Index: slot, shard, byte_offset, seq, doc_ids, starts, n_tokens, ids_sha256. Null and empty texts give one
+    end mark; ids may be null or repeated, each row has tokens of its own; an empty table gives an empty
+    index and no files; other columns are not read.
 
-    A document's tokens are cut into sequences of ``sequence`` ids. Their dense numbers come from the written
-    token table: running counts within a file, and one number for each file on top. The permutation of
-    0..n-1 under ``key`` turns numbers into slots. A shard file holds ``shard`` slots one after another, each
-    record ``stride`` bytes: the number of ids, then ``sequence`` ids, filled up with the end mark; so record s
-    lies in file s // shard at (s % shard) * stride. Each shard is one group of a shuffle, all of one size,
-    and is written under another name and then moved: a repeated task writes the same bytes again.
+    Sequences are packed and written once (see ``packed``). Their dense numbers ``seq`` are the place in the
+    task's file and one number for each file on top. The permutation of 0..n-1 under ``key`` turns numbers
+    into slots. A shard file holds ``shard`` slots one after another, each record ``stride`` bytes: the number
+    of ids, then ``sequence`` ids, filled up with the end mark; so record s lies in file s // shard at
+    (s % shard) * stride. Each shard is one group of a shuffle, all of one size, and is written under another
+    name and then moved: a repeated task writes the same bytes again.
     """
     spark = docs.sparkSession
-    table = token_table(docs, sequence, tokenizer)
+    table = packed(docs, sequence, tokenizer)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    per_file = table.groupBy("file").agg(F.sum("pieces").alias("n"))  # one row for each task that wrote
+    per_file = table.groupBy("file").agg(F.count("*").alias("n"))  # one row for each task that wrote
     bases = cut(per_file.select("file", "n", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base")), "bases")
     total = int(bases.agg(F.sum("n")).first()[0] or 0)
     made = Shards(folder or new_folder(spark, "shards"), total, sequence, shard, key, tokenizer)
-    step = 2 * sequence
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def slot(seq: pd.Series) -> pd.Series:
+        return pd.Series(permuted(seq.to_numpy(np.int64), total, key))
+
+    def deflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            n = batch["pieces"].to_numpy(np.int64)
-            row = np.repeat(np.arange(len(batch)), n)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            slot = permuted(batch["first"].to_numpy(np.int64)[row] + part, total, key)
-            ids = batch["ids"].to_numpy()
-            yield pd.DataFrame(
-                {"slot": slot, "shard": slot // shard, "doc_id": batch["doc_id"].astype("Int64").to_numpy()[row], "part": part, "ids": [ids[r][p * step : (p + 1) * step] for r, p in zip(row, part, strict=True)]}
-            )
+            yield batch.assign(ids=[zlib.compress(x) for x in batch["ids"]])
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = open_store(made.folder)
@@ -158,21 +176,17 @@ def write_shards(
         def close() -> pd.DataFrame:
             rows = pd.concat(held)
             held.clear()
-            number = int(rows["shard"].iloc[0])
-            data = b"".join(
-                (len(x) // 2).to_bytes(4, "little") + x + END.to_bytes(2, "little") * (sequence - len(x) // 2) for x in rows["ids"]
-            )
-            name = f"{root}/shard-{number:06d}.bin"
+            ids = [zlib.decompress(x) for x in rows["ids"]]
+            data = b"".join((len(x) // 2).to_bytes(4, "little") + x + END.to_bytes(2, "little") * (sequence - len(x) // 2) for x in ids)
+            name = f"{root}/shard-{int(rows['shard'].iloc[0]):06d}.bin"
             draft = f"{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
                 out.write(data)
-            store.move(draft, name)
-            return pd.DataFrame(
-                {
-                    "slot": rows["slot"], "shard": rows["shard"], "byte_offset": rows["slot"] % shard * made.stride, "doc_id": rows["doc_id"].astype("Int64"),
-                    "part": rows["part"], "n_tokens": rows["ids"].map(len) // 2, "ids_sha256": [hashlib.sha256(x).hexdigest() for x in rows["ids"]],
-                }
-            )
+            if store.get_file_info(name).is_file:  # an earlier attempt has moved the same bytes there
+                store.delete_file(draft)
+            else:
+                store.move(draft, name)
+            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "rows": [len(rows)]})
 
         for batch in batches:
             for number, rows in batch.groupby("shard", sort=False):
@@ -182,12 +196,18 @@ def write_shards(
         if held:
             yield close()
 
-    rows = table.join(bases.select("file", "base"), "file").select("doc_id", "pieces", "ids", (F.col("base") + F.col("nth")).alias("first"))
-    rows = rows.mapInPandas(dealt, "slot long, shard long, doc_id long, part long, ids binary")
-    rows = rows.repartition("shard").sortWithinPartitions("slot")
-    done = cut(rows.mapInPandas(written, "slot long, shard long, byte_offset long, doc_id long, part long, n_tokens long, ids_sha256 string"), "shard-index")
+    rows = table.join(bases.select("file", "base"), "file").withColumn("seq", F.col("base") + F.col("nth"))
+    rows = rows.withColumn("slot", slot("seq")).withColumn("shard", F.floor(F.col("slot") / shard))
+    moved = rows.select("slot", "shard", "ids").mapInPandas(deflated, "slot long, shard long, ids binary")
+    files = moved.repartition("shard").sortWithinPartitions("slot").mapInPandas(written, "shard long, rows long")
+    if (files.agg(F.sum("rows")).first()[0] or 0) != total:
+        raise RuntimeError("not every sequence is in a shard")
+    index = rows.select(
+        "slot", "shard", (F.col("slot") % shard * made.stride).alias("byte_offset"), "seq", "doc_ids", "starts",
+        F.floor(F.octet_length("ids") / 2).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+    )
     spark.createDataFrame([(json.dumps(asdict(made)),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{made.folder}/manifest")
-    return made, done
+    return made, index
 
 
 def read_shards(spark: SparkSession, made: Shards, start: int = 0, count: int | None = None) -> DataFrame:
