@@ -164,9 +164,14 @@ def write_shards(
     def slot(seq: pd.Series) -> pd.Series:
         return pd.Series(permuted(seq.to_numpy(np.int64), total, key))
 
-    def deflated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sequences of a batch that go to one shard travel together, deflated."""
         for batch in batches:
-            yield batch.assign(ids=[zlib.compress(x) for x in batch["ids"]])
+            out = [
+                (number, rows["slot"].to_numpy("<i8").tobytes(), rows["ids"].map(len).to_numpy("<u4").tobytes(), zlib.compress(b"".join(rows["ids"])))
+                for number, rows in batch.groupby("shard")
+            ]
+            yield pd.DataFrame(out, columns=["shard", "slots", "sizes", "ids"])
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = open_store(made.folder)
@@ -176,8 +181,15 @@ def write_shards(
         def close() -> pd.DataFrame:
             rows = pd.concat(held)
             held.clear()
-            ids = [zlib.decompress(x) for x in rows["ids"]]
-            data = b"".join((len(x) // 2).to_bytes(4, "little") + x + END.to_bytes(2, "little") * (sequence - len(x) // 2) for x in ids)
+            slots = np.frombuffer(b"".join(rows["slots"]), "<i8")
+            ends = np.cumsum(np.frombuffer(b"".join(rows["sizes"]), "<u4").astype(np.int64))
+            stream = b"".join(zlib.decompress(x) for x in rows["ids"])
+            filler = END.to_bytes(2, "little") * sequence
+            records = []
+            for i in np.argsort(slots):
+                ids = stream[ends[i - 1] if i else 0 : ends[i]]
+                records += [(len(ids) // 2).to_bytes(4, "little"), ids, filler[len(ids) :]]
+            data = b"".join(records)
             name = f"{root}/shard-{int(rows['shard'].iloc[0]):06d}.bin"
             draft = f"{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
@@ -186,7 +198,7 @@ def write_shards(
                 store.delete_file(draft)
             else:
                 store.move(draft, name)
-            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "rows": [len(rows)]})
+            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "rows": [len(slots)]})
 
         for batch in batches:
             for number, rows in batch.groupby("shard", sort=False):
@@ -198,8 +210,8 @@ def write_shards(
 
     rows = table.join(bases.select("file", "base"), "file").withColumn("seq", F.col("base") + F.col("nth"))
     rows = rows.withColumn("slot", slot("seq")).withColumn("shard", F.floor(F.col("slot") / shard))
-    moved = rows.select("slot", "shard", "ids").mapInPandas(deflated, "slot long, shard long, ids binary")
-    files = moved.repartition("shard").sortWithinPartitions("slot").mapInPandas(written, "shard long, rows long")
+    moved = rows.select("slot", "shard", "ids").mapInPandas(bundled, "shard long, slots binary, sizes binary, ids binary")
+    files = moved.repartition("shard").sortWithinPartitions("shard").mapInPandas(written, "shard long, rows long")
     if (files.agg(F.sum("rows")).first()[0] or 0) != total:
         raise RuntimeError("not every sequence is in a shard")
     index = rows.select(
