@@ -5,7 +5,7 @@ from compare import check, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-HEAVY = {"uncertainty_rounds", "random_search", "kmeans_coassign", "gbt_predict", "svc_predict"}
+HEAVY = {"uncertainty_rounds", "random_search"}  # uncertainty_votes, oos_rows and test_learning.py stand for them
 
 
 @pytest.fixture(scope="module")
