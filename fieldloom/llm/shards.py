@@ -168,7 +168,7 @@ def write_shards(
         """Sequences of a batch that go to one shard travel together, deflated."""
         for batch in batches:
             out = [
-                (number, rows["slot"].to_numpy("<i8").tobytes(), rows["ids"].map(len).to_numpy("<u4").tobytes(), zlib.compress(b"".join(rows["ids"])))
+                (number, rows["slot"].to_numpy("<i8").tobytes(), rows["ids"].map(len).to_numpy("<u4").tobytes(), zlib.compress(b"".join(rows["ids"]), 1))
                 for number, rows in batch.groupby("shard")
             ]
             yield pd.DataFrame(out, columns=["shard", "slots", "sizes", "ids"])
