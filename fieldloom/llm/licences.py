@@ -62,32 +62,71 @@ RULES = (
     ("bsd2_text", "BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_as_is")),
     ("reserved_line", "LicenseRef-all-rights-reserved", ("all_rights_reserved",)),
 )
-SENTENCE_END = r"\n+|[.!?;:]+(?=[\x20\x09-\x0D]|$)"
+#: Marks and blanks at the start of a line (indents, comment marks) say nothing; a line of marks alone is blank.
+LINE_START = r"(?<![^\n])[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A known sentence never goes on past these ...
+SENTENCE_END = r"\n(?:\x20?\n)+|[.!?]+(?=[\x20\x09-\x0D]|$)"
+#: ... but it may go on past these: texts are wrapped, and some sentences have a colon or semicolon inside.
+PIECE_END = r"\n+|[;:]+(?=[\x20\x09-\x0D]|$)"
 NOT_PLAIN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Sentences without any of these words are not looked up.
 HINT = "licen|copy|permi|redistribut|reserved|warrant|software|creative|version|basis|name of"
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: lower-cased A-Z, marks and white space as one blank, trimmed, none empty."""
-    plain = F.transform(F.split(ascii_lower(text), SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(s, NOT_PLAIN, " ")))
-    return F.filter(plain, lambda s: s != "")
+    """Normalised pieces as structs (unit, s): lower-cased A-Z, marks and white space as one blank, trimmed, none empty.
+
+    A piece ends at every line, colon and semicolon; pieces of one ``unit`` may belong to one sentence.
+    """
+    units = F.split(F.regexp_replace(ascii_lower(text), LINE_START, " "), SENTENCE_END, -1)
+
+    def pieces(unit: Column, i: Column) -> Column:
+        plain = F.transform(F.split(unit, PIECE_END, -1), lambda s: F.trim(F.regexp_replace(s, NOT_PLAIN, " ")))
+        return F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.struct(i.alias("unit"), s.alias("s")))
+
+    return F.flatten(F.transform(units, pieces))
+
+
+def known_runs(pieces: str, table: dict[str, str]) -> Column:
+    """Known sentences as structs (at, id): the longest run of whole pieces of one unit from each place, none within another."""
+    known = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    keys = F.array(*[F.lit(k) for k in table])
+    most = max(len(k.split()) for k in table)  # a piece has a word at least
+
+    def longest(x: Column, i: Column) -> Column:
+        rest = F.transform(F.filter(F.slice(pieces, i + 1, F.lit(most)), lambda y: y["unit"] == x["unit"]), lambda y: y["s"])
+        runs = F.transform(F.sequence(F.lit(1), F.size(rest)), lambda n: F.struct(n.alias("n"), F.element_at(known, F.array_join(F.slice(rest, F.lit(1), n), " ")).alias("id")))
+        hits = F.filter(runs, lambda r: r["id"].isNotNull())
+        return F.get(hits, F.size(hits) - 1)
+
+    def at_place(x: Column, i: Column) -> Column:
+        goes_on = F.exists(keys, lambda k: k.startswith(F.concat(x["s"], F.lit(" "))))
+        alone = F.when(x["s"].rlike(HINT), F.element_at(known, x["s"]))
+        run = F.when(goes_on, longest(x, i)).otherwise(F.struct(F.lit(1).alias("n"), alone.alias("id")))
+        return F.struct(i.alias("at"), run.alias("run"))
+
+    hits = F.filter(F.transform(pieces, at_place), lambda h: h["run"]["id"].isNotNull())
+    nothing = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,id:string>>").alias("found"))
+
+    def add(a: Column, h: Column) -> Column:
+        more = F.concat(a["found"], F.array(F.struct(h["at"].alias("at"), h["run"]["id"].alias("id"))))
+        return F.when(h["at"] >= a["free"], F.struct((h["at"] + h["run"]["n"]).alias("free"), more.alias("found"))).otherwise(a)
+
+    return F.aggregate(hits, nothing, add, lambda a: a["found"])
 
 
 def licence_hits(docs: DataFrame, table: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """One row per document: doc_id, n_sentences, identifiers, matches (rule, licence, first, last), licences.
 
-    ``identifiers`` are structs (at, id) of the known sentences in the order of the text; ``at`` counts
-    sentences from 0. A rule matches if its identifiers occur in their order, other known sentences between
+    ``identifiers`` are structs (at, id) of the known sentences in the order of the text, wrapped or not; ``at``
+    counts pieces from 0 (see ``sentences``), as ``n_sentences`` does, and is that of the sentence's first. A rule matches if its identifiers occur in their order, other known sentences between
     them allowed; the earliest place counts, and a rule whose identifiers are the beginning or a subset of a
     longer rule that matches for the same licence is not listed again. ``licences`` are the distinct licences,
     sorted. Null and empty texts have no sentences; ids may be null or repeated; an empty table gives no rows;
     other columns are not read. Table and rules are parameters of the job, a few hundred entries.
     """
-    known = F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("s"))
-    numbered = F.transform("s", lambda s, i: F.struct(i.alias("at"), F.when(s.rlike(HINT), F.element_at(known, s)).alias("id")))
-    found = texts.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.filter(numbered, lambda x: x["id"].isNotNull()).alias("identifiers"))
+    found = texts.select("doc_id", F.size("s").cast("long").alias("n_sentences"), known_runs("s", table).alias("identifiers"))
 
     def first_place(ids: tuple[str, ...]) -> Column:
         """Array of the places at which the identifiers, taken greedily in order, stand."""

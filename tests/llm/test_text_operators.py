@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -360,6 +361,51 @@ def test_licence_rules(spark, edge, nothing):
     assert licences.licence_hits(nothing).count() == 0
 
 
+WRAPPED = {
+    "MIT": """MIT License
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Copyright 2020 Somebody
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+        http://www.apache.org/licenses/LICENSE-2.0
+
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+}
+
+
+def test_wrapped_licences(spark):
+    rows, want = [], {}
+    for licence, text in WRAPPED.items():
+        paragraphs = [p.strip() for p in text.split("\n\n")]
+        for width in (35, 72, 80):
+            lines = "\n\n".join("\n".join(w for line in p.split("\n") for w in textwrap.wrap(line.strip(), width, break_on_hyphens=False)) for p in paragraphs).split("\n")
+            for mark, end in (("", "\n"), (" * ", "\n"), ("# ", "\n"), ("// ", "\r\n"), (";; ", "\n")):
+                want[len(rows)] = licence
+                rows.append((len(rows), end.join(["x = 1", "", *[(mark + line).rstrip() for line in lines], "", "y = 2"])))
+    # two paragraphs or a sentence that goes on within the line are not one known sentence; a covered one does not count again
+    for text, licences_ in (("Released under the\n\nMIT License of ours.", None), ("Released under the\nMIT License or not.", None), ("This work is\nlicensed under the MIT License.", "MIT")):
+        want[len(rows)] = licences_
+        rows.append((len(rows), text))
+    got = {r.doc_id: r for r in licences.licence_hits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: list(r.licences) for i, r in got.items()} == {i: [v] if v else [] for i, v in want.items()}
+    assert {r.rule for i in range(60) for r in got[i].matches} == {"mit_text", "apache2_header", "gpl3_header", "bsd2_text"}
+    assert [tuple(x) for x in got[62].identifiers] == [(0, "mit_notice")]
+
+
 # --- 9: toxicity -------------------------------------------------------------------------------------
 
 
