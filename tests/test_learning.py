@@ -140,6 +140,18 @@ def test_importance_equals_the_long_reduction(training):
             assert short[COLUMNS[r["feature"]]][how] == pytest.approx(r[how])
 
 
+def test_attribution_of_more_nodes_than_a_task_holds(training, monkeypatch):
+    table, _ = training
+    models = [L.classifier("RandomForest", {"n_estimators": 5, "max_depth": d}).fit(table) for d in (6, 3)]
+    whole = {(r["run"], r["id"], r["class"], r["feature"]): r["shap"] for r in A.tree_attribution(models, table, "id").collect()}
+    monkeypatch.setattr(A, "MAX_NODES", 20, raising=False)
+    monkeypatch.setattr(A, "GROUP_NODES", 20, raising=False)
+    monkeypatch.setattr(A, "BLOCK", 64, raising=False)
+    parts = {(r["run"], r["id"], r["class"], r["feature"]): r["shap"] for r in A.tree_attribution(models, table, "id").collect()}
+    assert len(whole) == 2 * 360 * 3 * 4 and set(parts) == set(whole)
+    assert all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
+
+
 def test_search_and_best(training, tmp_path, spark):
     table, _ = training
     space = {"RandomForest": {"max_depth": range(2, 5), "n_estimators": [3], "criterion": ["gini"]}}
