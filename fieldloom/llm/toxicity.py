@@ -17,6 +17,8 @@ GRAMS, BITS, DIM = range(3, 7), 18, 4
 STRETCH = 64
 #: Bounds of the training sample: labelled rows of each class, and bytes of their texts.
 ROWS_CLEAN, ROWS_TOXIC, SAMPLE_BYTES = 4_000, 2_000, 32 << 20
+#: A longer labelled text gives the sample this many windows spread evenly over it, of so many bytes together at most.
+ROW_BYTES, WINDOWS = 1 << 20, 16
 #: Pieces that occur in fewer words of the sample's texts are left at zero.
 LEAST_SEEN, STEPS, BATCH, RATE, DECAY = 5, 1600, 256, 0.2, 1e-4
 CUT, CLEAN_LOSS = 0.7, 0.002
@@ -127,8 +129,8 @@ def train(texts: list[bytes], labels: np.ndarray, checked: np.ndarray, steps: in
     one does. ``checked`` rows take no part; they place the cut.
     """
     n1, n = int(labels.sum()), len(labels)
-    if n1 == 0 or n1 == n:  # one class only, or no labels: its smoothed share
-        share = (n1 + 0.5) / (n + 1)
+    if n1 == 0 or n1 == n:  # one class only, or no labels: its smoothed share, and nothing is rejected
+        share = min((n1 + 0.5) / (n + 1), 0.5)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))), float(np.log(CUT / (1 - CUT))))
     vocabulary: dict[bytes, int] = {}
     word, stretch_of, doc_of = [], [], []
@@ -243,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_clean: int = ROWS_CLEAN, rows_t
     """Train in one task on a bounded sample of the labelled rows that are not held out.
 
     Of each class come the rows with the smallest MD5 of the id, as many as the bounds allow. A fifth of
-    them, by the same hash, places the cut. Rows with null id, label or fold take no part; of several labels
+    them, by the same hash, places the cut. Long texts enter by windows, so none uses up its class's bytes. Rows with null id, label or fold take no part; of several labels
     of one id the largest holds; of texts repeated with one id the first in order.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).na.drop()
@@ -256,6 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_clean: int = ROWS_CLEAN, rows_t
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(picked), "doc_id")  # at most rows_clean + rows_toxic ids
     sample = sample.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    width = ROW_BYTES // WINDOWS // 4 - 1  # letters of up to four bytes, and a blank after each window
+    step = F.floor((F.length("text") - width) / (WINDOWS - 1)).cast("int")
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(width)))
+    sample = sample.withColumn("text", F.when(F.octet_length("text") > ROW_BYTES, F.array_join(windows, " ")).otherwise(F.col("text")))
     so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("draw"))
     sample = sample.withColumn("bytes", so_far).where(F.col("bytes") <= SAMPLE_BYTES // 2)
 

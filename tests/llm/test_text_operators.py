@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -442,6 +443,26 @@ def test_toxicity_edges(spark, folder, edge, nothing):
     assert toxicity.toxicity(nothing, toxicity.fit(nothing, labels)).count() == 0
 
 
+def test_toxicity_long_labelled_text_and_one_class(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400_000)
+    monkeypatch.setattr(toxicity, "ROW_BYTES", 20_000, raising=False)
+    rng = random.Random(3)
+    plain = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    ids = sorted((i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    rows = []
+    for n, i in enumerate(ids):
+        words = [rng.choice(plain) for _ in range(60_000 if n < 2 else 30)]  # the first of each class is longer than the whole sample
+        rows.append((i, n % 2, " ".join(words + ["scumbag", "worthless"] * (n % 2))))
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    said = {r.doc_id: r.toxic_score >= toxicity.CUT for r in toxicity.toxicity(docs, model).collect()}
+    assert np.mean([said[i] for i, y, _ in rows if y]) > 0.9 and np.mean([said[i] for i, y, _ in rows if not y]) < 0.05
+    for value in (0, 1):
+        one = toxicity.fit(docs, labels.where(F.col("toxic") == value))
+        assert all(r.toxic_score < toxicity.CUT for r in toxicity.toxicity(docs, one).collect())
+
+
 # --- 10: repeated strings -------------------------------------------------------------------------------
 
 
