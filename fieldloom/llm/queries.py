@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, decontaminate, exact_dedup, licences, mixing, near_dup, secrets, shards, suffix_dedup, toxicity
+from fieldloom.llm import (
+    chat, decontaminate, exact_dedup, fill_in_middle, filter_audit, licences, mixing, near_dup, secrets, shards, suffix_dedup, toxicity, url_filter
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -86,7 +88,25 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
+
+
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(pages, rules, url_filter.unwanted_pages(pages))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
 
 
 QUERIES = {
@@ -100,4 +120,7 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_url_filter": op11_url_filter,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }

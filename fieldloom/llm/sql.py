@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import licences
+from itertools import permutations
+
+from fieldloom.llm import licences, url_filter
 
 OP1 = r"""
 WITH t AS (
@@ -121,4 +123,73 @@ SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_sentences, coalesce(n.n, 0) AS n_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN out USING (doc_id)
 """
 
-ORACLES = {"op1_exact_dedup": OP1, "op4_decontamination": OP4, "op5_chat_format": OP5, "op6_mixing": OP6, "op8_licence_scan": OP8}
+_URL_RULES = ", ".join(f"({_quoted(h)}, {_quoted(p)}, {_quoted(v)})" for h, p, v in url_filter.RULES)
+
+OP11 = rf"""
+WITH u AS (SELECT page_id, row_number() OVER () AS n, regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', ['host', 'path'], 's') AS u FROM pages),
+p AS (SELECT page_id, n, translate(u.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, u.path AS path FROM u),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES {_URL_RULES}),
+best AS (
+  SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(rule_verdict, length(rule_host || rule_path)) AS rule_verdict
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN regexp_matches(host, '{url_filter.UNWANTED_HOST}') THEN 'block' ELSE 'allow' END) AS verdict,
+  regexp_matches(host, '{url_filter.UNWANTED_HOST}') AS listed
+FROM p LEFT JOIN best USING (n)
+"""
+
+_ORDERS = ", ".join(f"('{''.join(order)}')" for order in permutations("ABCDE"))
+
+OP12 = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails,
+    coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o(filter_order) AS (VALUES {_ORDERS}),
+s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM o),
+k AS (SELECT *, substr(filter_order, step, 1) AS letter, '[' || substr(filter_order, 1, step - 1) || '-]' AS before FROM s),
+x AS (SELECT *, contains(fails, letter) AS fail, regexp_matches(fails, before) AS gone FROM c, k),
+r AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT fail AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fail AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fail AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = letter), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (fail AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (fail AND NOT gone AND toxic), 0) AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), n AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {
+    "op1_exact_dedup": OP1, "op4_decontamination": OP4, "op5_chat_format": OP5, "op6_mixing": OP6, "op8_licence_scan": OP8,
+    "op11_url_filter": OP11, "op12_filter_audit": OP12, "op13_fill_in_middle": OP13,
+}
