@@ -11,18 +11,25 @@ from multiprocessing.pool import ThreadPool
 import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.ml.boosting import Settings, SoftmaxBoosting
+from fieldloom.ml.kernels import KernelMachine
 from fieldloom.ml.prep import assemble, impute_mean, label_table, standardize
 from fieldloom.operators.metrics import SCORERS, cluster_coassign, fold_scores, label_uncertainty, mean_scores
 from fieldloom.operators.sampling import fold_rounds, group_folds
 from fieldloom.operators.tables import CLASSIFIER_PREFIX, best_trial, trial_params
 from fieldloom.session import reliable
 
-MAX_TREE_DEPTH = 30  # the library's own limit
+MAX_TREE_DEPTH = 30  # the forest library's own limit
+#: Boosting parameters and their kinds.
+_BOOSTING = {
+    "n_estimators": int, "learning_rate": float, "num_leaves": int, "max_depth": int, "min_data_in_leaf": int,
+    "reg_lambda": float, "bagging_fraction": float, "bagging_freq": int, "patience": int,
+}
 
 
 def classifier(
@@ -30,18 +37,17 @@ def classifier(
 ) -> Estimator:
     """An estimator from the workflow's parameter names.
 
-    Boosting and the linear machine are binary here and run one against the rest.
-    The linear machine's loss is averaged over the training rows, so its C needs
-    their number (or sum of weights) ``rows``: the regularisation is 1 / (C * rows).
-    Deeper trees than the library grows are refused.
+    Boosting is softmax over all classes with best-first trees of any depth; the machine runs one class against
+    the rest, on random features for the kernels rbf and poly. Its loss is averaged over the training rows, so its C
+    needs their number (or sum of weights) ``rows``. Forests deeper than the library grows are refused.
     """
     common = {"featuresCol": columns.get("features", "features"), "labelCol": columns.get("label", "lc")}
     weighted = {**common, **({"weightCol": weight} if weight else {})}
     p = dict(params)
-    depth = int(p.get("max_depth", 5))
-    if depth > MAX_TREE_DEPTH:
-        raise ValueError(f"max_depth {depth} is above the library's limit of {MAX_TREE_DEPTH}")
     if name == "RandomForest":
+        depth = int(float(p.get("max_depth", 5)))
+        if depth > MAX_TREE_DEPTH:
+            raise ValueError(f"max_depth {depth} is above the library's limit of {MAX_TREE_DEPTH}")
         impurity = {"log_loss": "entropy"}.get(p.get("criterion", "gini"), p.get("criterion", "gini"))
         return RandomForestClassifier(
             **weighted,
@@ -53,25 +59,17 @@ def classifier(
             seed=seed,
         )
     if name == "LGBM":
-        base = GBTClassifier(
-            maxDepth=depth,
-            maxIter=int(p.get("n_estimators", 20)),
-            stepSize=float(p.get("learning_rate", 0.1)),
-            subsamplingRate=float(p.get("bagging_fraction", 1.0)) if int(p.get("bagging_freq", 0)) else 1.0,
-            minInstancesPerNode=int(p.get("min_data_in_leaf", 1)),
-            seed=seed,
-            **({"weightCol": weight} if weight else {}),
+        settings = Settings(
+            **{k: kind(float(p[k])) for k, kind in _BOOSTING.items() if k in p}, **({"metrics": tuple(p["metrics"])} if "metrics" in p else {}), seed=seed
         )
-        return OneVsRest(classifier=base, parallelism=4, **weighted)
+        return SoftmaxBoosting(settings, common["featuresCol"], common["labelCol"], weight)
     if name == "SVC":
         if not rows:
-            raise ValueError("the linear machine needs the number of its training rows")
-        base = LinearSVC(
-            regParam=1.0 / (float(p.get("C", 1.0)) * rows),
-            maxIter=int(p.get("max_iter", 20)),
-            **({"weightCol": weight} if weight else {}),
+            raise ValueError("the machine needs the number of its training rows")
+        return KernelMachine(
+            rows, float(p.get("C", 1.0)), p.get("kernel", "linear"), int(p.get("degree", 3)), p.get("gamma", "scale"), max_iter=int(p.get("max_iter", 20)),
+            weight=weight, features=common["featuresCol"], label=common["labelCol"], seed=seed,
         )
-        return OneVsRest(classifier=base, parallelism=4, **weighted)
     raise ValueError(f"unknown classifier {name}")
 
 
@@ -179,8 +177,8 @@ def kmeans_coassign(
 
 # --- search -------------------------------------------------------------------
 
-# Search ranges of the workflow; fixed values.  Depths end at the library's limit, and
-# what it cannot use is left out (leaves, rows to split, bagging every few rounds).
+# Search ranges of the workflow; fixed values.  The forest's depth ends at the library's limit,
+# and its rows to split, which the library cannot use, are left out.
 SEARCH_SPACE = {
     "RandomForest": {
         "max_depth": range(2, MAX_TREE_DEPTH + 1),
@@ -190,15 +188,18 @@ SEARCH_SPACE = {
         "criterion": ["gini", "entropy", "log_loss"],
     },
     "LGBM": {
-        "max_depth": range(10, MAX_TREE_DEPTH + 1),
+        "max_depth": range(10, 101),
         "learning_rate": (0.01, 0.1),
         "bagging_fraction": (0.1, 1.0),
-        "bagging_freq": range(0, 2),
+        "bagging_freq": range(0, 11),
+        "num_leaves": range(10, 101),
         "min_data_in_leaf": range(10, 201),
     },
     "SVC": {
         "c": ("log", 1e-10, 1e10),
-        "kernel": ["linear"],
+        "kernel": ["linear", "rbf", "poly"],
+        "degree": range(1, 6),
+        "gamma": ["scale", "auto"],
     },
 }
 

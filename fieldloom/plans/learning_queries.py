@@ -11,6 +11,7 @@ from fieldloom.ml import attribution as A
 from fieldloom.ml import models as L
 from fieldloom.ml import outliers as O
 from fieldloom.ml import prep as P
+from fieldloom.ml.boosting import Job, Settings, fit_models, margins
 from fieldloom.operators import series as S
 from fieldloom.operators.sampling import group_folds
 from fieldloom.plans import views as V
@@ -159,7 +160,7 @@ def rf_predict(t: Tables) -> DataFrame:
 
 @query("gbt_predict")
 def gbt_predict(t: Tables) -> DataFrame:
-    return _fit_predict(t, "LGBM", {"n_estimators": 20, "max_depth": 5})
+    return _fit_predict(t, "LGBM", {})
 
 
 @query("svc_predict")
@@ -167,6 +168,11 @@ def svc_predict(t: Tables) -> DataFrame:
     return _fit_predict(t, "SVC", {"C": 1.0})
 
 
+@query("kernel_predict")
+def kernel_predict(t: Tables) -> DataFrame:
+    return _fit_predict(t, "SVC", {"C": 1.0, "kernel": "rbf"})
+
+
 @query("oos_scores")
 def oos_scores(t: Tables) -> DataFrame:
     rows, _ = _rows(t)
@@ -233,6 +239,32 @@ def tree_attribution(t: Tables) -> DataFrame:
     return A.attribution_importance(models, rows, COLUMNS)
 
 
+#: The workflow's: rounds at most, rounds without a better held-out metric, both metrics.
+EARLY = {"n_estimators": 10_000, "patience": 200, "metrics": ("multi_error", "multi_logloss")}
+
+
+@query("margin_attribution")
+def margin_attribution(t: Tables) -> DataFrame:
+    """Importance of the features for the margins of boosted models: three folds, two metrics that end them."""
+    rows, _ = _rows(t)
+    folded = reliable(group_folds(rows, "field_id", "lc_name", 3))
+    models = A.boosted_folds(folded, 3, "fold", Settings(**EARLY), features="features", draw=F.col("id"))
+    return A.margin_importance(models, folded, COLUMNS)
+
+
+@query("margin_parts", "SELECT id, 10 AS classes, true AS adds_up FROM v_feat")
+def margin_parts(t: Tables) -> DataFrame:
+    """The parts of every row and class add up to the model's margin."""
+    rows, _ = _rows(t)
+    rows = reliable(rows.select("id", "lc", "features"))
+    model = fit_models(rows, [Job(Settings(n_estimators=3))], "features", draw=F.col("id"))[0]
+    summed = A.margin_attribution([model], rows, "id").groupBy("id", "class").agg(F.sum("shap").alias("total"))
+    known = rows.select("id", F.posexplode(margins(t.spark, model, vector_to_array("features"))).alias("class", "margin"))
+    both = known.join(summed, ["id", "class"], "left")
+    close = F.coalesce(F.abs(F.col("total") - F.col("margin")) < 1e-9, F.lit(False))
+    return both.groupBy("id").agg(F.count("*").cast("int").alias("classes"), F.min(close).alias("adds_up"))
+
+
 _STATS = [("mean", {}), ("maximum", {}), ("minimum", {}), ("standard_deviation", {}), ("mean_change", {})]
 
 
