@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import decontaminate, mixing, near_dup, shards, toxicity
 from fieldloom.llm.common import cut
+from fieldloom.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
