@@ -79,12 +79,12 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     """Full outer merge of per-band tables on keys that may be null.
 
     With ``unique`` keys the tables are stacked and grouped: one shuffle for all
-    bands, nulls match nulls, and a repeated key raises.  Otherwise the tables are
-    joined pairwise null-safe, and repeated keys multiply as a merge does.
+    bands, nulls match nulls, and a repeated key raises.  Otherwise repeated keys
+    multiply as a merge does (see ``merge_repeated``).
     """
     keys = list(keys)
     if not unique:
-        return fold_outer(tables, keys)
+        return merge_repeated(tables, keys)
     values = [[c for c in t.columns if c not in keys] for t in tables]
     tagged = [t.withColumn("_band", F.lit(i)) for i, t in enumerate(tables)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
@@ -98,37 +98,47 @@ def merge_bands(tables: Sequence[DataFrame], keys: Sequence[str], unique: bool =
     return merged.where(F.when(F.col("_twice"), refused.cast("boolean")).otherwise(True)).drop("_twice")
 
 
-def fold_outer(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Full outer join of several tables; each step but the last is written once."""
-    merged = tables[0]
-    for i, table in enumerate(tables[1:], start=2):
-        merged = full_outer(merged, table, keys)
-        if i < len(tables):
-            merged = reliable(merged)
-    return merged
+#: Result rows that one row of an input makes in one step.
+FAN = 4096
 
 
-def full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Full outer join on null-safe keys, in three parts that can each be split.
+def merge_repeated(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Full outer merge of any number of tables, null keys meeting null keys; each input is read once.
 
-    A full outer join cannot be split on a hot key at run time; an inner join can,
-    and so can an anti join against the other side's distinct keys.
+    The tables are stacked and written.  Of a key, table i holds n_i rows, numbered 0 to n_i - 1, and the result
+    has one row for each choice of a row from every table that holds the key: place p of the product of all
+    max(n_i, 1) takes row (p // stride_i) % n_i of table i.  Each row goes to its places and one grouping by
+    (key, place) puts them together, so a key with most of the rows is spread over its places; numbers come from
+    counts by input slice.  What is shuffled is the result's size times the number of tables.
     """
-    keys = list(keys)
-    l, r = left.alias("l"), right.alias("r")
-
-    def same(a: str, b: str) -> Column:
-        return reduce(lambda p, q: p & q, [F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`")) for k in keys])
-
-    rest = {side: [c for c in df.columns if c not in keys] for side, df in (("l", left), ("r", right))}
-    both = l.join(r, same("l", "r")).select(
-        *[F.col(f"l.`{k}`") for k in keys],
-        *[F.col(f"{side}.`{c}`") for side, cs in rest.items() for c in cs],
+    keys, n = list(keys), len(tables)
+    values = [[c for c in t.columns if c not in keys] for t in tables]
+    tagged = [
+        t.select(
+            F.struct(*[F.col(f"`{k}`") for k in keys]).alias("_k"), F.lit(i).alias("_side"), F.spark_partition_id().alias("_part"),
+            F.monotonically_increasing_id().alias("_id"), *[F.col(f"`{c}`") for c in vs],
+        )
+        for i, (t, vs) in enumerate(zip(tables, values, strict=True))
+    ]
+    rows = reliable(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged))
+    counts = rows.groupBy("_k").agg(*[F.greatest(F.count_if(F.col("_side") == i), F.lit(1)).alias(f"_n{i}") for i in range(n)])
+    numbered = number_rows(rows, ["_k", "_side"], ["_part"], [F.col("_id")], "_at").join(counts, "_k")
+
+    def pick(columns: Sequence[Column]) -> Column:
+        return F.get(F.array(*columns), F.col("_side"))
+
+    one = F.lit(1).cast("bigint")
+    stride = pick([reduce(lambda a, b: a * b, [F.col(f"_n{j}") for j in range(i)], one) for i in range(n)])
+    others = reduce(lambda a, b: a * b, [F.col(f"_n{i}") for i in range(n)]) / pick([F.col(f"_n{i}") for i in range(n)])
+    numbered = numbered.select(
+        "_k", (F.col("_at") - 1).alias("_at"), stride.alias("_stride"), others.cast("bigint").alias("_others"),
+        pick([F.col(f"_n{i}") for i in range(n)]).alias("_mine"), *[F.col(f"`{c}`") for vs in values for c in vs],
     )
-    known = {"l": left.select(*keys).distinct().alias("k"), "r": right.select(*keys).distinct().alias("k")}
-    only_left = l.join(known["r"], same("l", "k"), "left_anti")
-    only_right = r.join(known["l"], same("r", "k"), "left_anti")
-    return both.unionByName(only_left, allowMissingColumns=True).unionByName(only_right, allowMissingColumns=True)
+    blocks = numbered.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_others") - 1, F.lit(FAN).cast("bigint"))))
+    spread = blocks.withColumn("_q", F.explode(F.sequence("_b", F.least(F.col("_b") + FAN, F.col("_others")) - 1)))
+    place = F.floor(F.col("_q") / F.col("_stride")) * F.col("_stride") * F.col("_mine") + F.col("_at") * F.col("_stride") + F.col("_q") % F.col("_stride")
+    merged = spread.withColumn("_p", place).groupBy("_k", "_p").agg(*[F.first(F.col(f"`{c}`"), ignorenulls=True).alias(c) for vs in values for c in vs])
+    return merged.select("_k.*", *[F.col(f"`{c}`") for vs in values for c in vs])
 
 
 def join_first_match(
@@ -167,7 +177,7 @@ def point_union(layers: Sequence[tuple[str, DataFrame]]) -> DataFrame:
         )
         for suffix, layer in layers
     ]
-    return fold_outer(named, ["x", "y"])
+    return merge_repeated(named, ["x", "y"])
 
 
 # --- numbering ----------------------------------------------------------------

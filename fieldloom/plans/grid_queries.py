@@ -56,16 +56,15 @@ def bbox_filter(t: Tables) -> DataFrame:
 
 @query(
     "tiles_with_points",
-    """WITH g AS (SELECT DISTINCT "row" // 10 AS tile_row, col // 10 AS tile_col FROM v_px),
-         p AS (SELECT DISTINCT CAST(floor(floor((1000 - y) / 10) / 10) AS INTEGER) AS tile_row,
-                 CAST(floor(floor(x / 10) / 10) AS INTEGER) AS tile_col FROM v_points WHERE lc_name = 'BUILDING')
+    """WITH g AS (SELECT DISTINCT "row" // 2 AS tile_row, col // 2 AS tile_col FROM v_px),
+         p AS (SELECT DISTINCT CAST(floor(floor((1000 - y) / 10) / 2) AS INTEGER) AS tile_row,
+                 CAST(floor(floor(x / 10) / 2) AS INTEGER) AS tile_col FROM v_points)
        SELECT g.tile_row, g.tile_col FROM g SEMI JOIN p ON p.tile_row = g.tile_row AND p.tile_col = g.tile_col""",
 )
 def tiles_with_points(t: Tables) -> DataFrame:
-    tiles = R.with_tile(V.pixels(t), 10).select("tile_row", "tile_col").distinct()
-    wanted = V.points(t).where("lc_name = 'BUILDING'")
+    tiles = R.with_tile(V.pixels(t), 2).select("tile_row", "tile_col").distinct()
     row, col = G.pixel_of(F.col("x"), F.col("y"), *WHERE)
-    at = R.with_tile(wanted.select(row.alias("row"), col.alias("col")), 10)
+    at = R.with_tile(V.points(t).select(row.alias("row"), col.alias("col")), 2)
     return R.tiles_with_points(tiles, at, ["tile_row", "tile_col"])
 
 
@@ -260,9 +259,6 @@ def cloud_shadow(t: Tables) -> DataFrame:
 
 # --- the imagery chain --------------------------------------------------------------
 
-_CHAIN = {"steps": 4, "coarse": 3, "shrink": 2, "grow": 3}
-
-
 def _near_in_scene(radius: int, table: str, flag: str) -> str:
     return _near(radius, table, flag).replace("SELECT DISTINCT ", "SELECT DISTINCT m.scene, ", 1)
 
@@ -270,14 +266,14 @@ def _near_in_scene(radius: int, table: str, flag: str) -> str:
 cte(
     "v_clear_px",
     f"""SELECT p.* FROM v_scene_px p WHERE (p.scene, p."row", p.col) NOT IN (
-         WITH casts AS (SELECT DISTINCT scene, CAST("row" // 3 - round(sin(radians(90 - azimuth)) * d) AS INTEGER) AS r,
-             CAST(col // 3 + round(cos(radians(90 - azimuth)) * d) AS INTEGER) AS c FROM v_scene_px, range(1, 5) k(d) WHERE cloud),
+         WITH casts AS (SELECT DISTINCT scene, CAST("row" // 10 - round(sin(radians(90 - azimuth)) * d) AS INTEGER) AS r,
+             CAST(col // 10 + round(cos(radians(90 - azimuth)) * d) AS INTEGER) AS c FROM v_scene_px, range(1, 21) k(d) WHERE cloud),
          fl AS (SELECT px.scene, px."row", px.col, cloud OR (dark AND casts.r IS NOT NULL) AS flag FROM v_scene_px px
-           LEFT JOIN casts ON casts.scene = px.scene AND casts.r = px."row" // 3 AND casts.c = px.col // 3),
+           LEFT JOIN casts ON casts.scene = px.scene AND casts.r = px."row" // 10 AND casts.c = px.col // 10),
          bad AS ({_near_in_scene(2, "fl", "NOT flag")}),
          er AS (SELECT fl.scene, fl."row", fl.col, flag AND b."row" IS NULL AS e FROM fl
            LEFT JOIN bad b ON b.scene = fl.scene AND b."row" = fl."row" AND b.col = fl.col),
-         gr AS ({_near_in_scene(3, "er", "e")})
+         gr AS ({_near_in_scene(18, "er", "e")})
          SELECT scene, "row", col FROM gr)""",
 )
 _CELLS = """SELECT k."row", k.col, k.slot, CAST(trunc(least(greatest(coalesce({value}, 0), {low}), {high})) AS {kind}) AS value
@@ -293,7 +289,7 @@ _CELLS = """SELECT k."row", k.col, k.slot, CAST(trunc(least(greatest(coalesce({v
 def evi_composite(t: Tables) -> DataFrame:
     """Clouds and shadows, mask, index of each pixel, monthly median, stored as a small integer."""
     bands = {"v": 10000 * evi("B8", "B4", "B2")}
-    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, F.col("v"), **_CHAIN)
+    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, F.col("v"))
 
 
 @query(
@@ -307,7 +303,7 @@ def evi_composite(t: Tables) -> DataFrame:
 def hue_composite(t: Tables) -> DataFrame:
     """The same with the median of the bands first and the hue of the medians."""
     bands = {n: F.col(n) for n in ("B4", "B3", "B2")}
-    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, 10000 * hue("B4", "B3", "B2"), "uint16", **_CHAIN)
+    return I.cloud_free_composite(V.scene_pixels(t), ["scene"], ["row", "col"], "slot", bands, 10000 * hue("B4", "B3", "B2"), "uint16")
 
 
 # --- folds and samples ------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.functions.series import feature_name
+from fieldloom.functions.series import DEFAULT_FEATURES, feature_name
 from fieldloom.ml import attribution as A
 from fieldloom.ml import models as L
 from fieldloom.ml import outliers as O
@@ -265,13 +265,10 @@ def margin_parts(t: Tables) -> DataFrame:
     return both.groupBy("id").agg(F.count("*").cast("int").alias("classes"), F.min(close).alias("adds_up"))
 
 
-_STATS = [("mean", {}), ("maximum", {}), ("minimum", {}), ("standard_deviation", {}), ("mean_change", {})]
-
-
 @query("predict_pixels")
 def predict_pixels(t: Tables) -> DataFrame:
-    names = [feature_name(f, p) for f, p in _STATS]
-    stats = S.series_features(V.full(t), V.SERIES, "slot", "value", features=_STATS)
+    names = [feature_name(f, p) for f, p in DEFAULT_FEATURES]
+    stats = S.series_features(V.full(t), V.SERIES, "slot", "value")
     # the feature table is written once; the fit and the prediction both read it
     wide = reliable(S.band_pivot(stats, V.CELL, "band", V.BANDS, names))
     columns = [f"{b}_{n}" for b in V.BANDS for n in names]

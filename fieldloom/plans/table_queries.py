@@ -43,11 +43,11 @@ def outer_merge_bands(t: Tables) -> DataFrame:
     return T.merge_bands([V.band_table(t, b) for b in V.BANDS], ["lot", "id", "slot"])
 
 
-cte("v_rep_click", "SELECT nullif(user_id % 7, 0) AS lot, user_id AS id, CAST(ts AS DATE) AS slot, value AS click_value FROM events WHERE event_type = 'click'")
-cte("v_rep_view", "SELECT nullif(user_id % 7, 0) AS lot, user_id AS id, CAST(ts AS DATE) AS slot, value AS view_value FROM events WHERE event_type = 'view'")
+for _band in V.BANDS:
+    cte(f"v_rep_{_band}", f"SELECT nullif(user_id % 7, 0) AS lot, user_id AS id, CAST(ts AS DATE) AS slot, value AS {_band}_value FROM events WHERE event_type = '{_band}'")
 
 
-@query("outer_merge_repeated", _merge_sql(["click_value", "view_value"], ["v_rep_click", "v_rep_view"]))
+@query("outer_merge_repeated", _merge_sql([f"{b}_value" for b in V.BANDS], [f"v_rep_{b}" for b in V.BANDS]))
 def outer_merge_repeated(t: Tables) -> DataFrame:
     def rows(band: str) -> DataFrame:
         return t.events.where(F.col("event_type") == band).select(
@@ -57,16 +57,16 @@ def outer_merge_repeated(t: Tables) -> DataFrame:
             F.col("value").alias(f"{band}_value"),
         )
 
-    return T.merge_bands([rows("click"), rows("view")], ["lot", "id", "slot"], unique=False)
+    return T.merge_bands([rows(b) for b in V.BANDS], ["lot", "id", "slot"], unique=False)
 
 
 @query(
     "left_join_xy",
-    """SELECT p.id, p.x, p.y, s.slot, round(s.click_value, 6) AS click_value
-       FROM v_points p LEFT JOIN v_band_click s ON s.id = p.id""",
+    f"""WITH s AS ({_merge_sql([f"{b}_value" for b in V.BANDS], [f"v_band_{b}" for b in V.BANDS])})
+        SELECT p.id, p.x, p.y, s.slot, {", ".join(f"s.{b}_value" for b in V.BANDS)} FROM v_points p LEFT JOIN s ON s.id = p.id""",
 )
 def left_join_xy(t: Tables) -> DataFrame:
-    data = V.band_table(t, "click").drop("lot")
+    data = T.merge_bands([V.band_table(t, b) for b in V.BANDS], ["lot", "id", "slot"]).drop("lot")
     return V.points(t).select("id", "x", "y").join(data, "id", "left")
 
 

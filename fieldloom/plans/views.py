@@ -376,39 +376,43 @@ cte(
     "v_monthly",
     """SELECT o_custkey % 40 AS cell, o_orderpriority AS band, CAST(date_trunc('month', o_orderdate) AS DATE) AS slot,
          CAST(round(o_totalprice * 100) AS BIGINT) AS value
-       FROM orders WHERE o_custkey % 5 < 2""",
+       FROM orders""",
 )
 
 
 def monthly(t: Tables) -> DataFrame:
-    return t.orders.where(F.col("o_custkey") % 5 < 2).select(
+    return t.orders.select(
         (F.col("o_custkey") % 40).alias("cell"), F.col("o_orderpriority").alias("band"),
         F.trunc("o_orderdate", "month").alias("slot"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("value"),
     )
 
 
-# pixels of six scenes, two a month, with square clouds
+# pixels of six scenes of 240 x 240, two a month, with square clouds
 cte(
     "v_scene_px",
     """SELECT *, prob > 50 AS cloud, B8 < 1500 AND SCL <> 6 AS dark, CAST(scene * 60 + 15 AS DOUBLE) AS azimuth, make_date(2023, 1 + scene // 2, 1) AS slot
-       FROM (SELECT CAST(l_orderkey % 6 AS INTEGER) AS scene, CAST(l_partkey % 60 AS INTEGER) AS "row", CAST(l_suppkey % 60 AS INTEGER) AS col,
+       FROM (SELECT scene, "row", col,
                max(CAST(round(l_quantity * 100) AS BIGINT)) AS B2, min(CAST(round(l_extendedprice * 3) AS BIGINT) % 10000) AS B3,
                min(CAST(round(l_extendedprice) AS BIGINT) % 10000) AS B4, min(CAST(round(l_extendedprice * 7) AS BIGINT) % 10000) AS B8,
-               min(l_linenumber) AS SCL,
-               min(l_quantity) + CASE WHEN (l_partkey % 60 // 12 + l_suppkey % 60 // 12 + l_orderkey % 6) % 4 = 0 THEN 50 ELSE 0 END AS prob
-             FROM lineitem GROUP BY l_orderkey % 6, l_partkey % 60, l_suppkey % 60)""",
+               min(l_linenumber) AS SCL, min(l_quantity) + CASE WHEN ("row" // 48 + col // 48 + scene) % 4 = 0 THEN 50 ELSE 0 END AS prob
+             FROM (SELECT *, CAST(l_orderkey % 6 AS INTEGER) AS scene, CAST(l_partkey * 7 % 240 AS INTEGER) AS "row",
+                     CAST((l_orderkey // 6 * 11 + l_linenumber * 31) % 240 AS INTEGER) AS col FROM lineitem)
+             GROUP BY scene, "row", col)""",
 )
 
 
 def scene_pixels(t: Tables) -> DataFrame:
     whole = {"B3": 3, "B4": 1, "B8": 7}
-    keys = {"scene": F.col("l_orderkey") % 6, "row": F.col("l_partkey") % 60, "col": F.col("l_suppkey") % 60}
+    keys = {
+        "scene": F.col("l_orderkey") % 6, "row": F.col("l_partkey") * 7 % 240,
+        "col": (F.floor(F.col("l_orderkey") / 6) * 11 + F.col("l_linenumber") * 31) % 240,
+    }
     px = t.lineitem.groupBy(*[k.cast("int").alias(n) for n, k in keys.items()]).agg(
         F.max(F.round(F.col("l_quantity") * 100).cast("bigint")).alias("B2"),
         *[F.min(F.round(F.col("l_extendedprice") * f).cast("bigint") % 10000).alias(n) for n, f in whole.items()],
         F.min("l_linenumber").alias("SCL"), F.min("l_quantity").alias("least"),
     )
-    blob = (F.floor(F.col("row") / 12) + F.floor(F.col("col") / 12) + F.col("scene")) % 4 == 0
+    blob = (F.floor(F.col("row") / 48) + F.floor(F.col("col") / 48) + F.col("scene")) % 4 == 0
     prob = F.col("least") + F.when(blob, 50).otherwise(0)
     return px.select(
         "*", (prob > 50).alias("cloud"), ((F.col("B8") < 1500) & (F.col("SCL") != 6)).alias("dark"),
