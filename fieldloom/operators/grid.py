@@ -149,12 +149,16 @@ def _grown(cells: DataFrame, by: Sequence[str], radius: int) -> DataFrame:
         (F.col("first") - half).alias("first"),
         (F.col("last") + half).alias("last"),
     )
+    return joined_runs(runs, by).select(*by, "row", F.explode(F.sequence("first", "last")).alias("col"))
+
+
+def joined_runs(runs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Runs (by, row, first, last) of columns; those of a row that overlap or meet become one."""
     line = Window.partitionBy(*by, "row").orderBy("first", "last")
     reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
     opened = runs.withColumn("_new", F.when(F.col("first") > F.coalesce(reach + 1, F.col("first") - 1), 1).otherwise(0))
     islands = opened.withColumn("_island", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy(*by, "row", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return joined.select(*by, "row", F.explode(F.sequence("first", "last")).alias("col"))
+    return islands.groupBy(*by, "row", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_island")
 
 
 def dilate(pixels: DataFrame, by: Sequence[str], flag: str, radius: int, out: str) -> DataFrame:

@@ -11,6 +11,7 @@ from fieldloom.functions import geometry as G
 from fieldloom.functions.expressions import evi, field_size_metres, hue
 from fieldloom.operators import grid as R
 from fieldloom.operators import imagery as I
+from fieldloom.operators import polygons as Y
 from fieldloom.operators import sampling as P
 from fieldloom.plans import views as V
 from fieldloom.plans.registry import Tables, cte, query
@@ -49,6 +50,40 @@ def disc_pixel_join(t: Tables) -> DataFrame:
     return R.disc_pixel_join(_sized(t), V.pixels(t), "id", "r", *WHERE)
 
 
+# a field for each customer: a square with a square hole, every third one with a second square to its right
+cte(
+    "v_fields",
+    """SELECT id, x + 0.25 AS x, y + 0.5 AS y, CAST(20 + 15 * (id % 4) AS DOUBLE) AS half, CAST(id % 3 * 8 AS DOUBLE) AS hole, id % 3 = 0 AS twin FROM v_points""",
+)
+
+
+def _fields(t: Tables) -> DataFrame:
+    """The fields as binary geometries."""
+    k = F.col("id")
+    at = V.points(t).select("id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.5).alias("y"), (20 + 15 * (k % 4)).cast("double").alias("half"), (k % 3 * 8).cast("double").alias("hole"))
+
+    def square(half, right=0.0):
+        left, rim, low, high = (F.col("x") + right - half), (F.col("x") + right + half), (F.col("y") - half), (F.col("y") + half)
+        return F.array(*[F.array(a, b) for a, b in ((left, low), (rim, low), (rim, high), (left, high), (left, low))])
+
+    outer = F.when(F.col("hole") > 0, F.array(square(F.col("half")), square(F.col("hole")))).otherwise(F.array(square(F.col("half"))))
+    both = F.when(k % 3 == 0, F.array(outer, F.array(square(F.lit(4.0), 100.0)))).otherwise(F.array(outer))
+    return at.select("id", Y.polygon_wkb(both).alias("geometry"))
+
+
+@query(
+    "polygon_pixel_join",
+    """WITH s AS (
+         SELECT id, x - half AS l, x + half AS r, y - half AS b, y + half AS u, x - hole AS hl, x + hole AS hr, y - hole AS hb, y + hole AS hu, hole > 0 AS holed FROM v_fields
+         UNION ALL SELECT id, x + 96, x + 104, y - 4, y + 4, 0, 0, 0, 0, false FROM v_fields WHERE twin)
+       SELECT s.id, g."row", g.col, round(g.value, 6) AS value FROM s JOIN v_px g
+         ON g.col * 10 <= r AND g.col * 10 + 10 > l AND 1000 - g."row" * 10 >= b AND 990 - g."row" * 10 < u
+        WHERE NOT (holed AND g.col * 10 > hl AND g.col * 10 + 10 <= hr AND 1000 - g."row" * 10 < hu AND 990 - g."row" * 10 >= hb)""",
+)
+def polygon_pixel_join(t: Tables) -> DataFrame:
+    return Y.polygon_pixel_join(_fields(t), V.pixels(t), "id", "geometry", *WHERE).select("id", "row", "col", "value")
+
+
 @query("bbox_filter", "SELECT id, x, y FROM v_points WHERE x BETWEEN 200 AND 700 AND y BETWEEN 100 AND 650")
 def bbox_filter(t: Tables) -> DataFrame:
     return R.bbox_filter(V.points(t).select("id", "x", "y"), (200, 100, 700, 650))
