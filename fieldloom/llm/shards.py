@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import cut, new_folder
+from fieldloom.llm.common import cut
+from fieldloom.session import checkpoint_folder
 
-#: Tokens of a sequence, sequences of a shard file, rounds of the permutation.
-SEQUENCE, SHARD, ROUNDS = 1024, 4096, 6
+#: Tokens of a sequence, sequences of a shard file, neighbouring files that one task writes, rounds of the permutation.
+SEQUENCE, SHARD, FILES, ROUNDS = 1024, 4096, 4, 6
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The split pattern that goes with the vocabulary, and its free id, used as the end of a document.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -92,7 +93,8 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER
     ``sequence`` ids; only the task's last sequence is shorter. ``doc_ids`` are the documents in it and
     ``starts`` where they begin (below 0: in an earlier sequence). ``ids`` are little-endian 16-bit numbers.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # ids travel as text: beside a null one pandas would make them floating-point numbers
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, nth, file = encoder(tokenizer), 0, 0
@@ -117,7 +119,7 @@ def packed(docs: DataFrame, sequence: int = SEQUENCE, tokenizer: str = TOKENIZER
             new = [np.array([*t.encode_ordinary(x), END], "<u2") for x in batch["text"]]
             size = np.array([len(x) for x in new], np.int64)
             begins = np.concatenate([begins, len(rest) + np.cumsum(size) - size])
-            names = names + [None if x is None or x != x else int(x) for x in batch["doc_id"]]
+            names = names + [None if x is None else int(x) for x in batch["doc_id"]]
             rest = np.concatenate([rest, *new])
             yield cut_off(len(rest) // sequence)
         if len(rest):
@@ -149,8 +151,9 @@ def write_shards(
     task's file and one number for each file on top. The permutation of 0..n-1 under ``key`` turns numbers
     into slots. A shard file holds ``shard`` slots one after another, each record ``stride`` bytes: the number
     of ids, then ``sequence`` ids, filled up with the end mark; so record s lies in file s // shard at
-    (s % shard) * stride. Each shard is one group of a shuffle, all of one size, and is written under another
-    name and then moved: a repeated task writes the same bytes again.
+    (s % shard) * stride. The slots are dealt in ranges of ``FILES`` shards, so a task writes neighbouring files, all
+    of one size; a file is written under another name and then moved: a repeated task writes the same bytes again.
+    Without ``folder`` the files go to a new folder below the shared one; they stay when the session ends.
     """
     spark = docs.sparkSession
     table = packed(docs, sequence, tokenizer)
@@ -158,7 +161,7 @@ def write_shards(
     per_file = table.groupBy("file").agg(F.count("*").alias("n"))  # one row for each task that wrote
     bases = cut(per_file.select("file", "n", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base")), "bases")
     total = int(bases.agg(F.sum("n")).first()[0] or 0)
-    made = Shards(folder or new_folder(spark, "shards"), total, sequence, shard, key, tokenizer)
+    made = Shards(folder or f"{checkpoint_folder(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}", total, sequence, shard, key, tokenizer)
 
     @F.pandas_udf("long")
     def slot(seq: pd.Series) -> pd.Series:
@@ -211,7 +214,9 @@ def write_shards(
     rows = table.join(bases.select("file", "base"), "file").withColumn("seq", F.col("base") + F.col("nth"))
     rows = rows.withColumn("slot", slot("seq")).withColumn("shard", F.floor(F.col("slot") / shard))
     moved = rows.select("slot", "shard", "ids").mapInPandas(bundled, "shard long, slots binary, sizes binary, ids binary")
-    files = moved.repartition("shard").sortWithinPartitions("shard").mapInPandas(written, "shard long, rows long")
+    ranges = max(1, -(-total // (shard * FILES)))
+    dealt = moved.repartitionById(ranges, F.floor(F.col("shard") / FILES).cast("int"))
+    files = dealt.sortWithinPartitions("shard").mapInPandas(written, "shard long, rows long")
     if (files.agg(F.sum("rows")).first()[0] or 0) != total:
         raise RuntimeError("not every sequence is in a shard")
     index = rows.select(

@@ -76,11 +76,11 @@ o AS (
   SELECT p.doc_id, p.size, t.source_size, t.target, t.a,
     coalesce(sum(p.size) OVER (PARTITION BY p.source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
-), u AS (SELECT *, least(start / target, 1.0) AS u, CAST(floor(target + 0.5) AS BIGINT) AS budget FROM o),
+), u AS (SELECT *, least(start / target, 1.0) AS u FROM o),
 x AS (SELECT *, 2 * u / ((1 - a) + sqrt((1 - a) * (1 - a) + 4 * a * u)) AS due FROM u)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(least(budget - start, size), 0) + greatest(least(budget - start - source_size, size), 0) AS BIGINT) AS taken,
-  CASE WHEN least(budget - start, size) > 0 THEN CAST(floor(total_a * due + total_b * (due * due - due)) AS BIGINT) END AS first_position
+  CASE WHEN (target - start) * 2 >= size THEN size ELSE 0 END + CASE WHEN (target - (start + source_size)) * 2 >= size THEN size ELSE 0 END AS taken,
+  CASE WHEN size > 0 AND (target - start) * 2 >= size THEN CAST(floor(total_a * due + total_b * (due * due - due)) AS BIGINT) END AS first_position
 FROM x, g
 """
 

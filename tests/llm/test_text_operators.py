@@ -156,6 +156,22 @@ def test_permutation():
     assert not np.array_equal(shards.permuted(np.arange(1000), 1000, "k"), shards.permuted(np.arange(1000), 1000, "other"))
 
 
+def test_wide_ids_beside_null_ones(spark):
+    ids = [2**60 + 1, None, -(2**62) + 3, 2**53 + 1]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string").coalesce(1)
+    seen = [i for r in shards.write_shards(docs, sequence=8)[1].orderBy("seq").collect() for i, at in zip(r.doc_ids, r.starts) if at >= 0]
+    assert sorted(seen, key=repr) == sorted(ids, key=repr)
+
+
+def test_shards_last_and_lie_in_ranges(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"document number {i} " * 9) for i in range(300)], "doc_id long, text string").repartition(6)
+    made, _ = shards.write_shards(docs, sequence=16, shard=8)
+    files = spark.read.format("binaryFile").load(f"{made.folder}/*.bin").select("path", "length").collect()
+    assert len(files) == -(-made.sequences // 8) and made.folder.rsplit("/", 1)[1].startswith("token-shards-")
+    again, _ = shards.write_shards(docs, str(tmp_path / "own"), sequence=16, shard=8)
+    assert again.folder == str(tmp_path / "own") and (tmp_path / "own" / "manifest").exists()
+
+
 def test_shards_round_trip(spark, edge, nothing):
     made, index = shards.write_shards(edge, sequence=128, shard=64)
     rows = index.toPandas().set_index("slot")
@@ -242,11 +258,12 @@ def test_mix_meets_targets(spark, folder):
     rows = mixing.mix(docs).collect()
     sources = {}
     for r in rows:
-        s = sources.setdefault(r.source, [r.source_size, r.target, 0, 0])
+        s = sources.setdefault(r.source, [r.source_size, r.target, 0, 0, 0])
         s[2] += r["size"]
         s[3] += r.taken
-        assert 0 <= r.taken <= 2 * r["size"] and r.taken == sum(c["words"] for c in r.copies)
-    assert all(s[0] == s[2] and abs(s[3] - s[1]) <= 1 and s[1] <= 2 * s[0] for s in sources.values())
+        s[4] = max(s[4], r["size"])
+        assert r.taken in (0, r["size"], 2 * r["size"]) and r.taken == sum(c["words"] for c in r.copies)
+    assert all(s[0] == s[2] and abs(s[3] - s[1]) <= s[4] / 2 and s[1] <= 2 * s[0] for s in sources.values())
     assert abs(sum(s[1] for s in sources.values()) - 1.5 * sum(s[0] for s in sources.values())) < 1e-3
     again = {(r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, r.taken) for r in rows}
@@ -255,6 +272,22 @@ def test_mix_meets_targets(spark, folder):
     assert 0 <= places[0][0] and places[-1][0] <= total * (1 + 1e-9)
 
 
+def test_border_copy_is_whole(spark):
+    docs = spark.createDataFrame([(i, "w " * (5 + i), "ab"[i % 2]) for i in range(9)] + [(9, "w " * 400, "a")], "doc_id long, text string, source string")
+    for share in (0.1, 0.3, 0.7, 1.0, 1.9, 2.0):
+        rows = mixing.mix(docs, share=share).collect()
+        for source in "ab":
+            mine = [r for r in rows if r.source == source]
+            taken, target = sum(r.taken for r in mine), mine[0].target
+            line = sorted((c.position, c.words) for r in mine for c in r.copies)
+            assert taken == sum(w for _, w in line) and abs(taken - target) <= 200
+            others = [r["size"] for r in mine if r.taken < 2 * r["size"]]
+            assert abs(taken - target) <= max(others + [w for _, w in line[-1:]], default=0) / 2 + 1e-6
+        order = mixing.training_order(docs, mixing.mix(docs, share=share)).collect()
+        assert Counter(r.doc_id for r in order) == Counter(r.doc_id for r in rows for _ in r.copies)
+        assert all(len(r.text.split()) in (5 + r.doc_id, 400) for r in order)
+
+
 def test_curriculum_follows_the_schedule(spark):
     """A source with a rising weight is rarer early, and as the integral says."""
     docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(4000)], "doc_id long, text string, source string")
