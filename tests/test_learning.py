@@ -169,7 +169,7 @@ def test_search_and_best(training, tmp_path, spark):
 
 def test_other_classifiers(training):
     table, codes = training
-    for name, params in (("LGBM", {"n_estimators": 2, "max_depth": 2}), ("SVC", {"C": 1.0, "max_iter": 3})):
+    for name, params in (("LGBM", {"n_estimators": 20, "max_depth": 2}), ("SVC", {"C": 1.0, "max_iter": 3})):
         model = L.classifier(name, params, weight="w", rows=L.training_rows(table, "w")).fit(table)
         hits = model.transform(table).where(F.col("prediction") == F.col("lc")).count()
         assert hits > 250, name
