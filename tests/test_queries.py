@@ -5,7 +5,8 @@ from compare import check, connect
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-HEAVY = {"uncertainty_rounds", "random_search"}  # uncertainty_votes, oos_rows and test_learning.py stand for them
+# uncertainty_votes, oos_rows, margin_parts, test_learning.py and test_boosting.py stand for them
+HEAVY = {"uncertainty_rounds", "random_search", "margin_attribution"}
 
 
 @pytest.fixture(scope="module")
