@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import connected, cut, words
 
 GRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 128
-#: Texts of one candidate group that meet in a task: two blocks of about this many.
+#: Texts of one bucket or candidate group that meet in a task: two blocks of about this many.
 BLOCK = 512
+#: N-grams a bin of a sketch should hold, and the most bins; beyond them bins are fuller and prune less.
+BIN_GRAMS, MOST_BINS = 4, 1 << 14
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -73,8 +75,105 @@ def signatures(h: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.nd
     return out.view(np.int64)
 
 
+def sketch(distinct: np.ndarray) -> np.ndarray:
+    """How many n-grams of a set fall into each of 2^k bins, 255 at most; bins grow with the set."""
+    bins = min(max(1 << (len(distinct) // BIN_GRAMS).bit_length(), 8), MOST_BINS)
+    return np.minimum(np.bincount((distinct & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def folded(sketches: np.ndarray, bins: int) -> np.ndarray:
+    """Sketches (one a row) as they would be with fewer bins."""
+    while sketches.shape[1] > bins:
+        half = sketches.shape[1] // 2
+        sketches = np.minimum(sketches[:, :half].astype(np.int16) + sketches[:, half:], 255).astype(np.uint8)
+    return sketches
+
+
+def possible_parts(size: np.ndarray, sketches: list[np.ndarray], threshold: float) -> np.ndarray:
+    """First member of each one's part, where parts are connected by pairs that may reach the threshold.
+
+    A pair at the threshold differs in at most (1 - t) / (1 + t) of both sets' sizes, and sketches never
+    differ by more than the sets do, so no pair at the threshold is lost.
+    """
+    width = np.array([len(s) for s in sketches])
+    rank = np.zeros(len(size), np.int64)
+    levels = {}
+    for bins in np.unique(width):
+        there = np.flatnonzero(width == bins)
+        rank[there] = np.arange(len(there))
+        levels[bins] = np.stack([sketches[i] for i in there])
+    part = np.full(len(size), -1)
+    alone = np.arange(len(size))
+    while len(alone):
+        part[alone[0]] = alone[0]
+        waiting, alone = [alone[0]], alone[1:]
+        while waiting and len(alone):
+            a = waiting.pop()
+            root, both = part[a], size[a] + size[alone]
+            like = np.minimum(size[a], size[alone]) >= threshold * np.maximum(size[a], size[alone]) - 1e-6
+            for bins in np.unique(width[alone[like]]):
+                at = np.flatnonzero(like & (width[alone] == bins))
+                few = min(bins, width[a])
+                mine = folded(sketches[a][None, :], few).astype(np.int16)
+                apart = np.abs(folded(levels[bins][rank[alone[at]]], few) - mine).sum(1, dtype=np.int64)
+                like[at] = apart <= (1 - threshold) / (1 + threshold) * both[at] + 1e-6
+            part[alone[like]] = root
+            waiting.extend(alone[like])
+            alone = alone[~like]
+    return part
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair (lo, hi) of blocks that its ``block`` of ``blocks`` is in."""
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi"))
+    )
+    rest = [F.col(c) for c in rows.columns if c != "blocks"]
+    return rows.select(*rest, F.explode(meets).alias("meet")).select(*rest, "meet.lo", "meet.hi")
+
+
+def candidate_ties(nodes: DataFrame, threshold: float) -> DataFrame:
+    """a, b: ties that connect all nodes (node, bands, n_set, sketch) which meet in a bucket and may be near.
+
+    A bucket is a band's hash. Its members meet in blocks, by their sizes and sketches alone; pairs that
+    these rule out, as nearly all that meet by chance, tie nothing. Of each part of a meeting only ties
+    to its first member come out. A task holds one meeting at a time, whatever the bucket's size.
+    """
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = buckets.select("band", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = keys.join(buckets, ["band", "key"]).join(nodes.select("node", "n_set", "sketch"), "node")
+    members = meeting(members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    place = ["band", "key", "lo", "hi"]
+    members = members.select(*place, "node", "n_set", "sketch").repartition(*place).sortWithinPartitions(*place, "node")
+
+    def tie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def ties(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            names, size = rows["node"].to_numpy(), rows["n_set"].to_numpy()
+            held = [np.frombuffer(s, np.uint8) for s in rows["sketch"]]
+            first = np.arange(len(rows))
+            for begin, end in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+                first[begin:end] = begin + possible_parts(size[begin:end], held[begin:end], threshold)
+            tied = first != np.arange(len(rows))
+            return pd.DataFrame({"a": names[tied], "b": names[first[tied]]})
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            where = rows[place].to_numpy(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]).any(1)])) if len(rows) else np.zeros(1, np.int64)
+            rest = rows.iloc[starts[-1] :]
+            if starts[-1]:
+                yield ties(rows.iloc[: starts[-1]], starts[:-1])
+        if rest is not None and len(rest):
+            yield ties(rest, np.zeros(1, np.int64))
+
+    return members.mapInPandas(tie, "a binary, b binary")
+
+
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key, node (digest of the words), n_grams, bands."""
+    """doc_id, text_key, node (digest of the words), n_grams, bands, n_set (different n-grams), sketch."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hashed = texts.select("doc_id", F.xxhash64("text").alias("text_key"), word_hashes(F.col("text")).alias("h"))
 
@@ -90,12 +189,14 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             raw, ends = flat.tobytes(), 8 * np.cumsum(sizes)
             nodes = [blake2b(raw[e - 8 * s : e], digest_size=16).digest() for s, e in zip(sizes, ends, strict=True)]
             stops = np.concatenate([[0], np.cumsum(np.where(count > 0, bands, 0))]).astype(np.int32)
+            sets = [np.unique(x) for x in np.split(h, np.cumsum(count)[:-1])][: len(count)]
+            sizes_of_sets, drawn = pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(count), pa.ListArray.from_arrays(pa.array(stops), pa.array(keys.ravel()))],
-                ["doc_id", "text_key", "node", "n_grams", "bands"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(count), pa.ListArray.from_arrays(pa.array(stops), pa.array(keys.ravel())), sizes_of_sets, drawn],
+                ["doc_id", "text_key", "node", "n_grams", "bands", "n_set", "sketch"],
             )
 
-    return hashed.mapInArrow(sign, "doc_id long, text_key long, node binary, n_grams long, bands array<long>")
+    return hashed.mapInArrow(sign, "doc_id long, text_key long, node binary, n_grams long, bands array<long>, n_set long, sketch binary")
 
 
 def word_hashes(text: Column) -> Column:
@@ -156,8 +257,9 @@ def near_classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, r
     table gives no rows; other columns are not read.
 
     1. Each text's MinHash bands are written; texts of the same words are one node from here on.
-    2. In each bucket (band, hash) the members are tied to its smallest node; connected buckets are the
-       candidate groups. No pair is listed.
+    2. In each bucket (band, hash) members are compared by size and sketch, which rule pairs out but lose none;
+       those left are tied, and connected ties are the candidate groups. No pair is listed, and buckets
+       that meet by chance do not chain groups together.
     3. A group is cut into blocks by hash; two blocks at a time meet in a task with their full sets, so a
        group of any size is spread and each pair meets once. Out come each node's number of links and one
        tie for each node to the smallest one of its part, never the pairs.
@@ -167,23 +269,18 @@ def near_classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, r
     table = cut(signed(docs, n, bands, rows), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     nodes = cut(
-        table.where("n_grams > 0").groupBy("node").agg(F.count("*").alias("copies"), F.min(place).alias("home"), F.first("bands").alias("bands")), "nodes"
+        table.where("n_grams > 0").groupBy("node")
+        .agg(F.count("*").alias("copies"), F.min(place).alias("home"), *[F.first(c).alias(c) for c in ("bands", "n_set", "sketch")]),
+        "nodes",
     )
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = keys.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "key", "b")
-    ties = keys.join(buckets, ["band", "key"]).where("node <> b").select(F.col("node").alias("a"), "b")
-    groups = connected(ties, "candidates")
+    groups = connected(candidate_ties(nodes, threshold), "candidates")
     sized = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = groups.join(sized, "label").join(nodes.select("node", "copies", "home"), "node")
     members = members.select("node", "copies", "label", "blocks", F.col("home.doc_id").alias("home_id"), F.col("home.text_key").alias("home_key"))
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("k", F.xxhash64("t"))
     here = members.join(texts, F.col("home_id").eqNullSafe(F.col("d")) & (F.col("home_key") == F.col("k")))
     here = here.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("lo"), F.greatest(j, F.col("block")).alias("hi"))
-    )
-    here = here.select("node", "copies", "label", "block", word_hashes(F.col("t")).alias("h"), meets.alias("meets"))
-    here = here.withColumn("meet", F.explode("meets")).select("label", "meet.lo", "meet.hi", "node", "copies", "block", "h")
+    here = meeting(here.select("node", "copies", "label", "block", "blocks", word_hashes(F.col("t")).alias("h")))
 
     def verify(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("node").sort_values("node", kind="stable")

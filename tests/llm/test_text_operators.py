@@ -363,6 +363,59 @@ def test_near_classes(spark, folder, edge, nothing, block, monkeypatch):
     assert near_dup.near_classes(nothing).count() == 0
 
 
+def test_sketches_lose_no_near_pair():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 30, 700, 9000):
+        whole = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+        for shared in sorted({0, size // 2, size * 17 // 20, size * 19 // 20, size}):
+            sets = [np.unique(whole[:size]), np.unique(np.concatenate([whole[:shared], whole[size : 2 * size - shared]]))]
+            both = shared / (2 * size - shared)
+            part = near_dup.possible_parts(np.array([len(x) for x in sets]), [near_dup.sketch(x) for x in sets], 0.8)
+            if both >= 0.8:
+                assert part.tolist() == [0, 0]
+            if both <= 0.4 and size >= 30:
+                assert part.tolist() == [0, 1]
+
+
+def test_parts_of_a_bucket_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(6):
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 400)), dtype=np.uint64)
+        for _ in range(7):
+            keep = base[rng.random(len(base)) > rng.choice([0.02, 0.5])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, 3, dtype=np.uint64)])))
+    size, held = np.array([len(s) for s in sets]), [near_dup.sketch(s) for s in sets]
+    root = list(range(len(sets)))
+
+    def find(n):
+        return n if root[n] == n else find(root[n])
+
+    for a in range(len(sets)):
+        for b in range(a):
+            few = min(len(held[a]), len(held[b]))
+            apart = np.abs(near_dup.folded(held[a][None], few).astype(int) - near_dup.folded(held[b][None], few)).sum()
+            alike = min(size[a], size[b]) >= 0.8 * max(size[a], size[b]) and apart <= (size[a] + size[b]) / 9 + 1e-6
+            if alike:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+            if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                assert alike
+    assert near_dup.possible_parts(size, held, 0.8).tolist() == [find(n) for n in range(len(sets))]
+
+
+def test_chance_links_do_not_chain(spark, monkeypatch):
+    """Each text shares half its runs with the next: with one row a band nearly all neighbours meet in a bucket."""
+    rng = random.Random(3)
+    pieces = [" ".join(f"p{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(81)]
+    docs = spark.createDataFrame([(i, pieces[i] + " " + pieces[i + 1]) for i in range(80)], "doc_id long, text string")
+    nodes = near_dup.signed(docs, 5, 18, 1).select("node", "bands", "n_set", "sketch").cache()
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    assert keys.groupBy("band", "key").count().where("count > 1").count() > 80
+    assert near_dup.candidate_ties(nodes, 0.8).count() == 0
+    plan = near_dup.candidate_ties(nodes, 0.8)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_one_of_each(spark, edge):
     stay = near_dup.one_of_each(edge, near_dup.near_classes(edge))
     assert stay.columns == edge.columns
