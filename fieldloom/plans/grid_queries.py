@@ -416,6 +416,20 @@ def geojson_lines(t: Tables) -> DataFrame:
     return parsed.select("f.properties.*", at[0].alias("x"), at[1].alias("y"))
 
 
+@query(
+    "geojson_collection",
+    """SELECT id, lc_name, x, y FROM v_points""",
+)
+def geojson_collection(t: Tables) -> DataFrame:
+    from fieldloom.session import new_folder
+    from fieldloom.sources.features import write_collections
+    from fieldloom.sources.files import feature_lines, read_geojson
+
+    path = new_folder(t.spark, "collection")
+    write_collections(feature_lines(V.points(t).select("id", "lc_name", "x", "y")), path)
+    return read_geojson(t.spark, path, "struct<id bigint, lc_name string>")
+
+
 @query(
     "point_layer",
     "SELECT id, lc_name, x, y, 32736 AS srid FROM v_points",

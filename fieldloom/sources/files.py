@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions.geometry import point_from_hex, point_to_hex
+from fieldloom.sources.features import collection_features
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -51,18 +52,12 @@ def read_geojson(
 ) -> DataFrame:
     """Point features to rows with their properties and x, y.
 
-    ``collection`` reads whole documents with a feature list, one file per task;
-    large layers should come as one feature per line (``collection=False``),
-    which Spark can split.
+    ``collection`` reads whole documents with a feature list, in byte ranges of any
+    size; otherwise each line is one feature.
     """
     feature = FEATURE.format(properties)
     if collection:
-        raw = (
-            spark.read.schema(f"features array<{feature}>")
-            .option("multiLine", True)
-            .json(path)
-            .select(F.explode("features").alias("f"))
-        )
+        raw = collection_features(spark, path).select(F.from_json("feature", feature).alias("f")).where("f.type = 'Feature'")
     else:
         raw = spark.read.text(path).select(F.from_json("value", feature).alias("f"))
     at = F.col("f.geometry.coordinates")

@@ -12,6 +12,7 @@ from fieldloom.functions import geometry as G
 from fieldloom.functions import expressions as E
 from fieldloom.operators import grid as R
 from fieldloom.operators import sampling as P
+from fieldloom.sources import features as features_of
 from fieldloom.sources import files, names, scenes
 
 
@@ -46,6 +47,42 @@ def test_geojson(spark, tmp_path, points):
     assert sorted(whole.collect()) == sorted(points.collect())
 
 
+@pytest.mark.parametrize("size", ["90b", "1k", "128m"])
+def test_collection_in_byte_ranges(spark, tmp_path, size):
+    names_ = ["plain", 'br}ace "quoted" {', "back\\slash\\", '[{"type":"Feature"}]', "çé😀}", "", "\\\"}", "x" * 700 + "}{" * 90]
+    features = [
+        {"type": "Feature", "geometry": {"type": "Point", "coordinates": [i / 2, -i]}, "properties": {"id": i, "lc": names_[i % len(names_)], "more": [{"a": [{}]}, "}"]}}
+        for i in range(9 if size == "90b" else 40)
+    ]
+    crs = {"type": "name", "properties": {"name": 'urn "[{" }'}}
+    whole = {"type": "FeatureCollection", "bbox": [1, 2], "crs": crs, "features": features, "links": [{"type": "Link", "to": {}}, {"b": 1}]}
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.json").write_text(json.dumps(whole, indent=1))
+    (tmp_path / "c" / "b.json").write_text(json.dumps(whole, ensure_ascii=False) + "\n")
+    (tmp_path / "c" / "c.json").write_text(json.dumps({"type": "FeatureCollection", "features": []}))
+    (tmp_path / "c" / "d.json").write_text("")
+    (tmp_path / "c" / "e.json").write_text(json.dumps({"features": features[:1], "type": "FeatureCollection"}))
+    for key, value in (("maxPartitionBytes", size), ("openCostInBytes", "0"), ("minPartitionNum", "1")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    try:
+        tasks = features_of.json_pieces(spark, str(tmp_path / "c")).rdd.getNumPartitions()
+        got = files.read_geojson(spark, str(tmp_path / "c"), "struct<id bigint, lc string>").collect()
+    finally:
+        for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+            spark.conf.unset(f"spark.sql.files.{key}")
+    rows = [(f["properties"]["id"], f["properties"]["lc"], f["geometry"]["coordinates"][0], float(f["geometry"]["coordinates"][1])) for f in features]
+    assert sorted(tuple(r) for r in got) == sorted(rows * 2 + rows[:1])
+    assert tasks == 1 if size == "128m" else tasks > 4
+
+
+def test_collections_written_whole(spark, tmp_path, points):
+    features_of.write_collections(files.feature_lines(points.repartition(3)), str(tmp_path / "w"))
+    parts = [json.loads(p.read_text()) for p in (tmp_path / "w").glob("part-*")]
+    assert all(p["type"] == "FeatureCollection" for p in parts) and sum(len(p["features"]) for p in parts) == points.count()
+    back = files.read_geojson(spark, str(tmp_path / "w"), "struct<id bigint, lc string>")
+    assert sorted(back.collect()) == sorted(points.collect())
+
+
 def test_point_hex(spark, points):
     stored = files.save_points(points)
     want = {r["id"]: "0101000000" + struct.pack("<dd", r["x"], r["y"]).hex().upper() for r in points.collect()}
