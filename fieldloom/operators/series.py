@@ -13,7 +13,8 @@ from fieldloom.functions.series import DEFAULT_FEATURES, READS, build
 from fieldloom.operators.scale import group_median, group_quantiles
 from fieldloom.session import reliable
 
-VALUES_PER_TASK = 20_000
+#: Slots (rows after the calendar, about 100 bytes each) that a task fills and aggregates.
+SLOTS_PER_TASK = 2_000_000
 INT16 = (-32768, 32767)
 UINT16 = (0, 65535)
 
@@ -170,6 +171,14 @@ def band_pivot(
     )
 
 
+def series_tasks(series: int, first: dt.date | None, last: dt.date | None, step: str, parallelism: int) -> int:
+    """Tasks for so many series on the calendar from the first to the last slot, by the rows they become."""
+    if first is None:
+        return 1
+    slots = (last - first).days + 1 if step == "day" else 12 * (last.year - first.year) + last.month - first.month + 1
+    return max(parallelism, math.ceil(series * slots / SLOTS_PER_TASK))
+
+
 def filled_series(
     pixels: DataFrame,
     cell: Sequence[str],
@@ -187,14 +196,13 @@ def filled_series(
     statistics and the pivot all find that layout and shuffle nothing again.
     """
     counts = pixels.groupBy(*cell, band, slot).agg(F.count(value).alias("_n"))
-    biggest, first, last, values = counts.agg(
-        F.max("_n"), F.min(slot), F.max(slot), F.count(F.lit(1))
+    biggest, first, last, series = counts.agg(
+        F.max("_n"), F.min(slot), F.max(slot), F.approx_count_distinct(F.struct(*cell, band))
     ).first()
     composite = median_composite(pixels, cell, band, slot, value, nodata, hot_rows, biggest or 0)
     # the rows multiply by the calendar after this shuffle, so its task count comes
     # from the counting pass rather than from the size the engine measures before
-    spark = pixels.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(values / VALUES_PER_TASK))
+    tasks = series_tasks(series, first, last, step, pixels.sparkSession.sparkContext.defaultParallelism)
     by_cell = composite.repartition(tasks, *cell)
     grid = on_slot_grid(by_cell, [*cell, band], slot, value, slot_range(first, last, step))
     return interpolate(grid, [*cell, band], value)

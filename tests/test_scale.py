@@ -1,5 +1,6 @@
 """Hot keys, layouts and plans."""
 
+import datetime as dt
 import random
 
 import numpy as np
@@ -112,6 +113,14 @@ def test_hot_cells_give_the_same_series(spark, folder):
     assert series(2) == series(10**9)
 
 
+def test_series_tasks_follow_the_calendar():
+    year = (dt.date(2023, 1, 1), dt.date(2023, 12, 31))
+    assert S.series_tasks(50, *year, "day", 8) == 8 and S.series_tasks(0, None, None, "day", 8) == 1
+    assert S.series_tasks(10**7, *year, "day", 8) == 1825 and S.series_tasks(10**7, *year, "month", 8) == 60
+    series = 10**12 // 365  # 10^12 values
+    assert 10**5 < S.series_tasks(series, *year, "day", 8) < 10**6
+
+
 def test_lineage_needs_a_shared_folder(spark, monkeypatch):
     from fieldloom import session
 
