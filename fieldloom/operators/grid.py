@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import pixel_of
+from fieldloom.session import reliable
 
 SHADOW_STEPS = 20
 CLEAN_RADIUS = 2
@@ -178,8 +179,11 @@ def erode(pixels: DataFrame, by: Sequence[str], flag: str, radius: int, out: str
 def clean_mask(
     pixels: DataFrame, by: Sequence[str], flag: str, shrink: int = CLEAN_RADIUS, grow: int = GROW_RADIUS
 ) -> DataFrame:
-    """Remove small patches, then widen what is left."""
-    small = erode(pixels, by, flag, shrink, "_eroded")
+    """Remove small patches, then widen what is left.
+
+    The shrunk mask is read twice, so it is written once; else the input would be made four times.
+    """
+    small = reliable(erode(pixels, by, flag, shrink, "_eroded"), "eroded")
     return dilate(small, by, "_eroded", grow, "cloudmask").drop("_eroded")
 
 
