@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Transformer
+from pyspark.ml.param import Params
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from fieldloom.operators.scale import group_quantiles, pin_small
 from fieldloom.session import reliable
 
-CLASSES_PER_PASS = 32
+#: Rows of a class that meet one copy of its forest in a task.
+BLOCK_ROWS = 32_768
 EULER = 0.5772156649015329
 
 
@@ -120,39 +121,51 @@ def _depths(x: np.ndarray, tree: tuple) -> np.ndarray:
 
 
 def score(df: DataFrame, forests: DataFrame, key: str, label: str) -> DataFrame:
-    """Anomaly score of every row by its class's forest.
+    """Anomaly score of every row by its class's forest, for any number of classes.
 
-    A class's forest is bounded by trees x nodes; only a few classes' forests are
-    sent out at a time, and further classes take further passes.
+    Rows of a class are dealt by their key's hash to blocks of about ``BLOCK_ROWS``; each block meets its own copy of
+    the class's forest (bounded by trees x nodes) in one task.  The features are read once, the label column
+    once more for the sizes; nothing passes the driver.  A class without a forest gives a null score.
     """
-    spark = df.sparkSession
-    names = [r[0] for r in forests.select(label).distinct().orderBy(label).collect()]
+    blocks = df.groupBy(label).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
+    r, b = df.select(key, label, "features").alias("r"), blocks.alias("b")
+    rows = r.join(b, F.col(f"r.{label}").eqNullSafe(F.col(f"b.{label}"))).select(
+        *[F.col(f"r.{c}").alias(c) for c in (key, label, "features")],
+        F.pmod(F.xxhash64(F.col(f"r.{key}")), F.col("b._blocks")).cast("int").alias("_block"),
+    )
+    f = forests.alias("f")
+    dealt = f.join(b, F.col(f"f.{label}").eqNullSafe(F.col(f"b.{label}"))).select(
+        "f.*", F.explode(F.sequence(F.lit(0), F.col("b._blocks") - 1)).alias("_block")
+    )
     schema = T.StructType([df.schema[key], df.schema[label], T.StructField("score", T.DoubleType())])
-    parts = []
-    for start in range(0, len(names), CLASSES_PER_PASS):
-        chunk = names[start : start + CLASSES_PER_PASS]
-        held: dict = {}
-        for r in forests.where(F.col(label).isin(chunk)).collect():
-            tree = (
-                np.array(r["feature"]), np.array(r["threshold"]), np.array(r["left"]),
-                np.array(r["right"]), np.array(r["depth"]),
-            )
-            held.setdefault(r[label], []).append((r["rows"], tree))
-        sent = spark.sparkContext.broadcast(held)
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for name, part in frame.groupby(label, sort=False):
-                    x = np.vstack(part["features"].to_numpy())
-                    forest = sent.value[name]
-                    total = sum(_depths(x, tree) for _, tree in forest) / len(forest)
-                    norm = average_depth(forest[0][0])
-                    scores = np.power(2.0, -total / norm) if norm > 0 else np.full(len(x), 0.5)
-                    yield pd.DataFrame({key: part[key].to_numpy(), label: name, "score": scores})
-
-        rows = df.where(F.col(label).isin(chunk)).select(key, label, "features")
-        parts.append(rows.mapInPandas(run, schema))
-    return reduce(DataFrame.unionByName, parts)
+
+    def run(part: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        scores = np.full(len(part), np.nan)
+        if len(part) and len(trees):
+            x = np.vstack(part["features"].to_numpy())
+            trees = trees.sort_values("tree")
+            fields = [trees[c] for c in ("feature", "threshold", "left", "right", "depth")]
+            total = sum(_depths(x, tuple(np.asarray(v) for v in tree)) for tree in zip(*fields)) / len(trees)
+            norm = average_depth(int(trees["rows"].iloc[0]))
+            scores = np.power(2.0, -total / norm) if norm > 0 else np.full(len(x), 0.5)
+        return pd.DataFrame({key: part[key], label: part[label], "score": scores})
+
+    by = [label, "_block"]
+    met = rows.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(run, schema)
+    return met.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
+def class_cuts(scored: DataFrame, label: str, contamination: float) -> DataFrame:
+    """(label, cut): the upper quantile of each class's scores; one row a class."""
+    return group_quantiles(scored, [label], "score", {"cut": 1.0 - contamination})
+
+
+def flag(scored: DataFrame, cuts: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, score, is_outlier): scores above their class's cut; a class without a cut has no outliers."""
+    s, c = scored.alias("s"), cuts.alias("c")
+    met = s.join(c, F.col(f"s.{label}").eqNullSafe(F.col(f"c.{label}")), "left")
+    above = F.coalesce(F.col("s.score") > F.col("c.cut"), F.lit(False))
+    return met.select(f"s.{key}", f"s.{label}", "s.score", above.alias("is_outlier"))
 
 
 def isolation_outliers(
@@ -164,8 +177,7 @@ def isolation_outliers(
     """
     forests = reliable(build_forests(df, key, label, trees, sample, seed))
     scored = reliable(score(df, forests, key, label))
-    cuts, _ = pin_small(group_quantiles(scored, [label], "score", {"_cut": 1.0 - contamination}))
-    return scored.join(cuts, label).select(key, label, "score", (F.col("score") > F.col("_cut")).alias("is_outlier"))
+    return flag(scored, class_cuts(scored, label, contamination), key, label)
 
 
 def remove_outliers(df: DataFrame, key: str, label: str, **options) -> DataFrame:
@@ -173,23 +185,87 @@ def remove_outliers(df: DataFrame, key: str, label: str, **options) -> DataFrame
     return df.join(flagged, key, "left_anti")
 
 
-class OutlierRemover(Estimator):
-    """Finds each class's outliers on ``fit``; the fitted stage removes those rows."""
+class _Settings(Params):
+    """Names of the key and the class column; what the forests are built with."""
 
     def __init__(self, key: str, label: str, contamination: float = 0.05, **options):
         super().__init__()
         self.key, self.label = key, label
         self.options = {"contamination": contamination, **options}
 
-    def _fit(self, dataset: DataFrame) -> "OutlierRemoverModel":
-        flagged = isolation_outliers(dataset, self.key, self.label, **self.options)
-        return OutlierRemoverModel(self.key, flagged.where("is_outlier").select(self.key))
+    @property
+    def settings(self) -> dict:
+        return {"key": self.key, "label": self.label, **self.options}
+
+
+class _SettingsWriter(MLWriter):
+    """Settings as metadata; the tables of a fitted stage as Parquet beside them."""
+
+    def __init__(self, stage: _Settings):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession, extraMetadata={"settings": self.stage.settings})
+        for name, table in self.stage.tables().items():
+            table.write.parquet(f"{path}/{name}")
 
 
-class OutlierRemoverModel(Transformer):
-    def __init__(self, key: str, flagged: DataFrame):
+class _SettingsReader(MLReader):
+    def __init__(self, kind: type):
         super().__init__()
-        self.key, self.flagged = key, flagged
+        self.kind = kind
+
+    def load(self, path: str):
+        spark = self.sparkSession
+        metadata = DefaultParamsReader.loadMetadata(path, spark)
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in self.kind.TABLES}
+        stage = self.kind(**tables, **metadata["settings"])
+        stage._resetUid(metadata["uid"])
+        return stage
+
+
+class _Saved(_Settings, MLWritable, MLReadable):
+    TABLES: tuple[str, ...] = ()
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name) for name in self.TABLES}
+
+    def write(self) -> MLWriter:
+        return _SettingsWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SettingsReader(cls)
+
+
+class OutlierRemover(_Saved, Estimator):
+    """Learns a forest and a cut for each class; the fitted stage removes the rows above their class's cut."""
+
+    def _fit(self, dataset: DataFrame) -> "OutlierRemoverModel":
+        options = {"trees": 100, "sample": 256, "seed": 0} | self.options
+        share = options.pop("contamination")
+        forests = reliable(build_forests(dataset, self.key, self.label, **options))
+        cuts = reliable(class_cuts(reliable(score(dataset, forests, self.key, self.label)), self.label, share))
+        return OutlierRemoverModel(forests=forests, cuts=cuts, **self.settings)
+
+
+class OutlierRemoverModel(_Saved, Transformer):
+    """Node rows and cuts of the classes; judges any rows with the same columns, also after ``save`` and ``load``.
+
+    Rows of classes that the fit has not seen stay, so do rows without a class.  A key stands for its row.
+    """
+
+    TABLES = ("forests", "cuts")
+
+    def __init__(self, forests: DataFrame, cuts: DataFrame, key: str, label: str, **options):
+        super().__init__(key, label, **options)
+        self.forests, self.cuts = forests, cuts
+
+    def flagged(self, dataset: DataFrame) -> DataFrame:
+        """(key, label, score, is_outlier) of every row."""
+        return flag(score(dataset, self.forests, self.key, self.label), self.cuts, self.key, self.label)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return dataset.join(self.flagged, self.key, "left_anti")
+        out = self.flagged(dataset).where("is_outlier").select(self.key)
+        return dataset.join(out, self.key, "left_anti")

@@ -16,7 +16,7 @@ from fieldloom.operators import series as S
 from fieldloom.operators.sampling import group_folds
 from fieldloom.plans import views as V
 from fieldloom.plans.registry import Tables, cte, half_up_sql, query
-from fieldloom.session import reliable
+from fieldloom.session import new_folder, reliable
 
 COLUMNS = V.FEATURES
 cte(
@@ -217,6 +217,15 @@ def isolation_outliers(t: Tables) -> DataFrame:
     return O.isolation_outliers(rows, "id", "lc_name")
 
 
+@query("outlier_stage")
+def outlier_stage(t: Tables) -> DataFrame:
+    """The stage learns on the even ids, is saved and loaded, and judges all rows."""
+    rows = V.features(t).select("id", "lc_name", F.col("embedding").cast("array<double>").alias("features"))
+    folder = new_folder(rows.sparkSession, "outlier-stage")
+    O.OutlierRemover("id", "lc_name").fit(rows.where("id % 2 = 0")).save(folder)
+    return O.OutlierRemoverModel.load(folder).flagged(rows)
+
+
 SPACE = {
     "RandomForest": {"max_depth": range(2, 8), "n_estimators": range(5, 21, 5), "criterion": ["gini", "entropy"]},
     "LGBM": {"max_depth": range(2, 4), "learning_rate": (0.01, 0.1), "n_estimators": [2]},

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -97,6 +98,35 @@ def test_outlier_scores_find_a_far_row(spark):
     assert 189 <= left.count() <= 192
 
 
+def test_outlier_stage_is_saved(rows, tmp_path, monkeypatch):
+    """Saved and loaded, alone and in a pipeline, the stage judges new rows the same; more blocks change no score."""
+    df = rows.select("id", "lc_name", F.array(*COLUMNS).alias("features"))
+    stage = O.OutlierRemover("id", "lc_name", trees=12)
+    stage.write().overwrite().save(str(tmp_path / "stage"))
+    assert O.OutlierRemover.load(str(tmp_path / "stage")).settings == stage.settings
+    made = Pipeline(stages=[stage]).fit(df)
+    made.write().overwrite().save(str(tmp_path / "made"))
+    model, read = made.stages[0], PipelineModel.load(str(tmp_path / "made")).stages[0]
+    far = df.sparkSession.createDataFrame([(1000, "a", [40.0] * 4), (1001, "zz", [40.0] * 4), (1002, None, [0.0] * 4)], df.schema)
+    new = df.union(far)
+    want = {r["id"]: r for r in model.flagged(new).collect()}
+    monkeypatch.setattr(O, "BLOCK_ROWS", 50)
+    got = {r["id"]: r for r in read.flagged(new).collect()}
+    assert got == want and len(got) == 363
+    assert got[1000]["is_outlier"] and got[1001]["score"] is None and not got[1001]["is_outlier"] and not got[1002]["is_outlier"]
+    whole = {r["id"]: (r["score"], r["is_outlier"]) for r in O.isolation_outliers(df, "id", "lc_name", trees=12).collect()}
+    assert {k: (r["score"], r["is_outlier"]) for k, r in got.items() if k < 1000} == whole
+    kept = {r["id"] for r in read.transform(new).collect()}
+    assert kept == {k for k, r in got.items() if not r["is_outlier"]}
+
+
+def test_many_classes_in_one_job(spark):
+    """Classes beyond any pass size: one plan, the features scanned once."""
+    df = spark.range(400).selectExpr("id", "concat('c', id % 80) as lc_name", "array(double(id % 7), double(id % 11)) as features")
+    out = O.isolation_outliers(df, "id", "lc_name", trees=3, sample=8)
+    assert out.where("score is not null").select("lc_name").distinct().count() == 80
+
+
 @pytest.mark.parametrize("shares", [[0.4], [0.3, 0.6, 0.9], [0.01, 0.5, 0.99, 0.2, 0.7, 0.1]])
 def test_factors_against_all_orders(shares):
     d = len(shares)
