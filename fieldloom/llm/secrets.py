@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,38 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+=*$", DIGITS + UPPER + LOWER + "-_"),
     ("base64", "^[A-Za-z0-9+/]+=*$", DIGITS + UPPER + LOWER + "+/"),
 )
-#: Sum of squared letter shares of written language; a random text of 26 letters has 0.038.
-LANGUAGE_REPEAT = 0.0655
-#: Share of neighbours of different character class below which a token counts as written, not drawn.
-CLASS_CHANGES = 0.2
-#: Lag-1 correlation from which a token counts as written.
-WRITTEN_CORRELATION = 0.5
+#: Common words of prose and code: the letter pairs of what people write.
+WRITTEN = (
+    "the of and to in is that for was with as his they at be this from have or by one had not but what all were when we there can an "
+    "your which their said if do will each about how up out them then she many some so these would other into has more her two like "
+    "him see time could no make than first been its who now people my made over did down only way find use may water long little very "
+    "after words called just where most know get through back much before go good new write our used me man too any day same right "
+    "look think also around another came come work three word must because does part even place well such here take why things help "
+    "put years different away again off went old number great tell men say small every found still between name should home big give "
+    "air line set own under read last never us left end along while might next sound below saw something thought both few those always "
+    "show large often together asked house world going want school important until form food keep children feet land side without boy "
+    "once animals life enough took four head above kind began almost live page got earth need far hand high year mother light parts "
+    "country father let night following picture being study second eyes soon times story boys since white days ever paper hard near "
+    "sentence better best across during today others however sure means knew try told young miles sun ways thing whole hear example "
+    "heard several change answer room sea against top turned learn point city play toward five using himself usually money build user "
+    "account handler factory service manager controller request response client server config default value key map list array index "
+    "string object class method function return error exception message event stream reader writer buffer file path directory load save "
+    "update delete create insert select table column row query result cache queue thread lock timeout retry count size length max min "
+    "total average first last current previous parent child node tree graph edge type kind state status code version release build test "
+    "check validate parse format encode decode transform filter sort merge split join group batch job task schedule worker process "
+    "session token context option setting parameter argument input output source target report final draft document text image video "
+    "network socket connection address host port domain link url api http json xml html style script module package import export "
+    "library system platform device driver kernel memory disk storage backup archive transaction customer order product price payment "
+    "invoice shipping seconds minutes hours date month number enabled disabled internal external public private static abstract "
+    "temporary directory management utils helper provider listener adapter builder iterator observer registry repository entity"
+)
+#: Share of a letter that may follow any other.
+ANY_LETTER = 0.2
+#: Shares of neighbours where a piece ends, and of capitals that follow capitals: a written token has one of each.
+PIECE_ENDS = (0.1, 0.2, 0.3, 0.4)
+CAPITALS = (0.05, 0.5, 0.95)
+MARKS = "+/_-"
+UUID = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: A token that a test for randomness rejects at about one in a thousand is no secret.
 GATE = 3.3
 FALSE_DISCOVERY = 0.01
@@ -50,18 +77,67 @@ def _pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
 
 
+def pair_costs() -> list[float]:
+    """log10 of the share of each letter after each other one (26 x 26, row by row) in ``WRITTEN``."""
+    seen = Counter(a + b for word in WRITTEN.split() for a, b in zip(word, word[1:], strict=False))
+    after = {a: sum(seen[a + b] for b in LOWER) for a in LOWER}
+    return [
+        math.log10(ANY_LETTER / 26 + (1 - ANY_LETTER) * (seen[a + b] / after[a] if after[a] else 1 / 26)) for a in LOWER for b in LOWER
+    ]
+
+
+def written_share(body: Column) -> Column:
+    """log10 of an upper bound of the share that written tokens (words, names, constants, paths, dates) give to this one.
+
+    A written token is a chain of pieces: small letters with or without a capital before them, capitals, digits,
+    marks. Inside a piece letters follow each other as in ``WRITTEN``; a digit, a mark or a first letter may be
+    any. How often pieces end and whether capitals stay together is the token's own: the best of the stated
+    shares counts, each with an equal weight.
+    """
+    classes = F.translate(body, LOWER + UPPER + DIGITS + MARKS, "l" * 26 + "u" * 26 + "d" * 10 + "m" * 4)
+    letters = F.lower(F.regexp_replace(body, "([a-z])(?=[A-Z])", "$1-"))
+    places = F.transform(F.split(letters, "(?<=.)(?=.)"), lambda c: F.call_function("instr", F.lit(LOWER), c))
+    facts = F.struct(
+        *[F.regexp_count(classes, F.lit(f"{a}(?={b})")).cast("double").alias(a + b) for a, b in ("ll", "dd", "uu", "ul", "mm")],
+        *[F.regexp_count(classes, F.lit(f"{a}(?=.)")).cast("double").alias("from_" + a) for a in "ludm"],
+        *[F.regexp_count(classes, F.lit(a)).cast("double").alias("all_" + a) for a in "ludm"],
+        places.alias("places"),
+    )
+
+    def share(t: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(t["places"], F.lit(1), F.size(t["places"]) - 1), F.slice(t["places"], F.lit(2), F.size(t["places"]) - 1),
+            lambda a, b: F.when((a > 0) & (b > 0), _pick((a - 1) * 26 + b - 1, pair_costs())).otherwise(0.0),
+        )
+        inside = t["ll"] + t["uu"] + t["ul"]
+        symbols = (
+            F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
+            - (t["all_l"] + t["all_u"] - inside) * math.log10(26) - t["all_d"] - t["all_m"] * math.log10(len(MARKS)) - math.log10(4)
+        )
+        ends_l, ends_u, ends_d, goes_on = t["from_l"] - t["ll"], t["from_u"] - t["uu"] - t["ul"], t["from_d"] - t["dd"], t["from_m"] - t["mm"]
+        chains = [
+            (t["ll"] + t["dd"]) * math.log10(1 - c) + t["uu"] * math.log10((1 - c) * w) + t["ul"] * math.log10((1 - c) * (1 - w))
+            + (ends_l + ends_d) * math.log10(c / 3) + ends_u * math.log10(c / 2) + t["mm"] * math.log10(c) + goes_on * math.log10((1 - c) / 3)
+            for c in PIECE_ENDS for w in CAPITALS
+        ]
+        return symbols + F.greatest(*chains)
+
+    return F.element_at(F.transform(F.array(facts), share), 1)
+
+
 def battery(token: Column) -> Column:
     """Struct (stratum, bin) of one token: its encoding and length band, and its evidence.
 
     Three statistics over the symbols of the inferred alphabet: chi-squared against equal shares, runs of
-    character classes and of the halves of the alphabet, lag-1 serial correlation. A token must pass each as
-    a test of randomness (``GATE``). Each statistic is then held against what written language of that
-    length would give; the three scores are added (Stouffer) and bounded by Chernoff's p <= exp(-z^2/2)/2,
-    kept as ``bin`` = floor(-10 log10 p). So short tokens can bring little evidence, whatever they look like.
+    the halves of the alphabet, lag-1 serial correlation. A token must pass each as a test of randomness
+    (``GATE``). The evidence of one that passes is the share that a draw from the inferred alphabet gives to it, over the
+    share that writing gives to it (``written_share``); each encoding has the weight of one in eight. A written
+    token exceeds 1/p with a probability of at most p (Markov), which is kept as ``bin`` = floor(-10 log10 p).
+    So short tokens can bring little evidence, whatever they look like. The parts of a UUID are one token.
     """
-    body = F.rtrim(token, F.lit("="))
-    code = F.coalesce(*[F.when(token.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)], F.lit(len(ENCODINGS) - 1))
-    first = F.struct(body.alias("s"), F.length(body).cast("double").alias("n"), code.alias("code"))
+    body = F.rtrim(F.when(token.rlike(UUID), F.replace(token, F.lit("-"), F.lit(""))).otherwise(token), F.lit("="))
+    code = F.coalesce(*[F.when(body.rlike(p), F.lit(i)) for i, (_, p, _) in enumerate(ENCODINGS)], F.lit(len(ENCODINGS) - 1))
+    first = F.struct(body.alias("s"), F.length(body).cast("double").alias("n"), code.alias("code"), written_share(body).alias("written"))
 
     def measure(t: Column) -> Column:
         s, n, alphabet = t["s"], t["n"], _pick(t["code"], [a for _, _, a in ENCODINGS])
@@ -70,55 +146,50 @@ def battery(token: Column) -> Column:
         halves = F.regexp_replace(s, F.concat(F.lit("[^"), F.regexp_replace(low, F.lit("([+/-])"), F.lit("\\\\$1")), F.lit("]")), F.lit("~"))
         ones = F.length(F.regexp_replace(halves, F.lit("[^~]"), F.lit(""))).cast("double")
         return F.struct(
-            n.alias("n"), k.cast("double").alias("k"), t["code"].alias("code"), ones.alias("ones"),
+            n.alias("n"), k.cast("double").alias("k"), t["code"].alias("code"), t["written"].alias("written"), ones.alias("ones"),
             F.aggregate(
                 F.transform(F.sequence(F.lit(1), k), lambda i: n - F.length(F.replace(s, F.substring(alphabet, i, F.lit(1)), F.lit("")))),
                 F.lit(0.0), lambda a, c: a + c * c,
             ).alias("squares"),
             F.length(F.regexp_replace(halves, F.lit("[^~]+|~+"), F.lit("."))).cast("double").alias("runs"),
-            F.length(F.regexp_replace(s, F.lit("[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+"), F.lit("."))).cast("double").alias("class_runs"),
             F.transform(F.split(s, "(?<=.)(?=.)"), lambda c: F.call_function("instr", alphabet, c).cast("double")).alias("x"),
         )
 
-    def scores(m: Column) -> Column:
+    def with_mean(m: Column) -> Column:  # a step of its own, or each symbol would sum all of them again
+        return F.struct(m.alias("m"), (F.aggregate(m["x"], F.lit(0.0), lambda a, v: a + v) / m["n"]).alias("mean"))
+
+    def scores(t: Column) -> Column:
+        m, mean = t["m"], t["mean"]
         n, k, x = m["n"], m["k"], m["x"]
-        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
         spread = F.aggregate(F.transform(x, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v)
         joint = F.aggregate(
             F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: (a - mean) * (b - mean)),
             F.lit(0.0), lambda a, v: a + v,
         )
         return F.struct(
-            n.alias("n"), k.alias("k"), m["code"].alias("code"), m["ones"].alias("ones"), m["runs"].alias("runs"), m["class_runs"].alias("class_runs"),
+            n.alias("n"), k.alias("k"), m["code"].alias("code"), m["written"].alias("written"), m["ones"].alias("ones"), m["runs"].alias("runs"),
             (k * m["squares"] / n - n).alias("chi"), F.when(spread > 0, joint / spread).otherwise(1.0).alias("r"),
         )
 
     def verdict(t: Column) -> Column:
         n, k, free = t["n"], t["k"], t["k"] - 1
-        # tests of randomness
         cube = 2 / (9 * free)
         chi_gate = (F.pow(t["chi"] / free, F.lit(1 / 3)) - (1 - cube)) / F.sqrt(cube)
         expected = 1 + 2 * t["ones"] * (n - t["ones"]) / n
         width = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9))
         run_gate = F.abs(t["runs"] - expected) / F.sqrt(width)
-        drawn = (chi_gate <= GATE) & (run_gate <= GATE) & (F.abs(t["r"]) * F.sqrt(n) <= GATE) & (t["class_runs"] > 1)
-        # scores against written language
-        away = n * F.when(k == 16, F.lit(16 / 6 - 1)).otherwise(k * LANGUAGE_REPEAT - 1)
-        z_chi = (free + away - t["chi"]) / F.sqrt(2 * (free + 2 * away))
-        z_runs = (t["class_runs"] - 1.5 - CLASS_CHANGES * (n - 1)) / F.sqrt(CLASS_CHANGES * (1 - CLASS_CHANGES) * (n - 1))
-        z_serial = (WRITTEN_CORRELATION - F.abs(t["r"])) * F.sqrt(n) / (1 - WRITTEN_CORRELATION**2)
-        z = (z_chi + z_runs + z_serial) / math.sqrt(3)
-        evidence = F.floor(BINS_PER_DECADE * (z * z / 2 / math.log(10) + math.log10(2)))
+        drawn = (chi_gate <= GATE) & (run_gate <= GATE) & (F.abs(t["r"]) * F.sqrt(n) <= GATE)
+        evidence = F.floor(BINS_PER_DECADE * (-n * F.log10(k) - math.log10(len(ENCODINGS)) - t["written"]))
         band = sum((F.when(n >= b, 1).otherwise(0) for b in LENGTH_BANDS), F.lit(0))
         return F.struct(
             (t["code"] * 10 + band).cast("int").alias("stratum"),
-            F.when(drawn & (z > 0), F.least(evidence, F.lit(MOST_BINS))).otherwise(0).cast("int").alias("bin"),
+            F.when(drawn & (evidence > 0), F.least(evidence, F.lit(MOST_BINS))).otherwise(0).cast("int").alias("bin"),
         )
 
     def chain(value: Column, step) -> Column:  # a step's result is made once, however often the next step names it
         return F.element_at(F.transform(F.array(value), step), 1)
 
-    return chain(chain(chain(first, measure), scores), verdict)
+    return chain(chain(chain(chain(first, measure), with_mean), scores), verdict)
 
 
 def least_bins(counts: DataFrame, q: float = FALSE_DISCOVERY) -> dict[int, int]:

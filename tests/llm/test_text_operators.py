@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -139,6 +140,88 @@ def test_battery_tells_drawn_from_written(spark):
     assert all((s.start, s.end) == (4, 44) for i in range(0, 400, 2) for s in got[i])
 
 
+def names_and_keys():
+    """(name of the kind, token): written tokens, and draws of several encodings."""
+    rng = random.Random(7)
+    stock = "balance button calendar channel cluster delivery discount editor gateway identity journal keyboard margin notification quality refund vendor".split()
+    b62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def pick(n):
+        return [rng.choice(stock) for _ in range(n)]
+
+    def drawn(alphabet, low, high):
+        return "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+
+    written = {
+        "camel": lambda: "build" + "".join(w.title() for w in pick(2)) + f"Handler{rng.randint(1, 9)}" + pick(1)[0].title(),
+        "constant": lambda: "_".join(w.upper() for w in pick(3)) + f"_{rng.randint(1, 60)}_SECONDS",
+        "slug": lambda: "-".join(pick(4)) + f"-{rng.randint(2000, 2030)}",
+        "path": lambda: "/".join(pick(4)) + f"/v{rng.randint(1, 9)}/{pick(1)[0]}",
+        "date": lambda: f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{pick(1)[0]}-{rng.randint(1000, 9999)}",
+    }
+    draws = {
+        "uuid": lambda: "-".join(drawn("0123456789abcdef", n, n) for n in (8, 4, 4, 4, 12)),
+        "sha1": lambda: drawn("0123456789ABCDEF", 40, 40),
+        "hex": lambda: drawn("0123456789abcdef", 20, 31),
+        "base32": lambda: drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20, 64),
+        "base62": lambda: drawn(b62, 20, 64),
+        "base64": lambda: drawn(b62 + "+/", 20, 64),
+    }
+    return [(k, f()) for k, f in written.items() for _ in range(60)], [(k, f()) for k, f in draws.items() for _ in range(40)]
+
+
+def test_written_tokens_are_no_discoveries(spark):
+    """No secret in the table: none is found. With secrets: few false ones (at most 2 q), most true ones."""
+    written, drawn = names_and_keys()
+    for tokens in (written, written + drawn):
+        rows = [(i, f"see {token} end") for i, (_, token) in enumerate(tokens)]
+        out = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        found = Counter(tokens[r.doc_id][0] for r in out if r.extra)
+        wrong = sum(n for k, n in found.items() if k in dict(written))
+        assert wrong <= 2 * secrets.FALSE_DISCOVERY * sum(found.values())
+    assert all(found[k] >= 36 for k in dict(drawn)), found
+
+
+def test_very_long_tokens(spark):
+    rng = random.Random(2)
+    long_key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50_000))
+    rows = [(0, long_key), (1, "ab1" * 20_000), (2, "readBalanceOf7Margins" * 2_000), (3, "-" * 40_000 + "1")]
+    got = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: [(0, 50_000)], 1: [], 2: [], 3: []}
+
+
+def test_written_share_against_a_plain_count(spark):
+    """The chain of pieces, letter by letter."""
+    costs = secrets.pair_costs()
+
+    def kind(c):
+        return "l" if c in secrets.LOWER else "u" if c in secrets.UPPER else "d" if c in secrets.DIGITS else "m"
+
+    def plain(token):
+        best = None
+        for c in secrets.PIECE_ENDS:
+            for w in secrets.CAPITALS:
+                stay = {"ll": 1 - c, "dd": 1 - c, "uu": (1 - c) * w, "ul": (1 - c) * (1 - w), "mm": c}
+                total, before = math.log10(1 / 4), None
+                for x in token:
+                    k = kind(x)
+                    if before and (kind(before) + k) in ("ll", "uu", "ul"):
+                        total += costs[26 * secrets.LOWER.index(before.lower()) + secrets.LOWER.index(x.lower())]
+                    else:
+                        total -= math.log10({"l": 26, "u": 26, "d": 10, "m": 4}[k])
+                    if before:
+                        ends = {"l": c / 3, "d": c / 3, "u": c / 2, "m": (1 - c) / 3}[kind(before)]
+                        total += math.log10(stay.get(kind(before) + k, ends))
+                    before = x
+                best = total if best is None else max(best, total)
+        return best
+
+    tokens = [t for group in names_and_keys() for _, t in group[::17]] + ["a", "A1", "--", "aB-_9Z"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.written_share(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert r.s == pytest.approx(plain(r.t), abs=1e-9), r.t
+
+
 def test_false_discovery_threshold(spark):
     counts = [(1, 0, 900), (1, 10, 40), (1, 20, 30), (1, 40, 30), (2, 0, 50)]
     least = secrets.least_bins(spark.createDataFrame(counts, "stratum int, bin int, n long"), q=0.05)
