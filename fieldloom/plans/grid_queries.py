@@ -440,3 +440,49 @@ def point_layer(t: Tables) -> DataFrame:
     return points_from_columns(V.points(t).select("id", "lc_name", "x", "y"), "x", "y", 32736)
 
 
+
+
+@query(
+    "geojson_written",
+    """SELECT id, lc_name, x, y FROM v_points""",
+)
+def geojson_written(t: Tables) -> DataFrame:
+    """Points written as features, one a line, and read back."""
+    from fieldloom.session import new_folder
+    from fieldloom.sources.files import read_geojson, write_geojson
+
+    path = new_folder(t.spark, "features")
+    write_geojson(V.points(t).select("id", "lc_name", "x", "y"), path)
+    return read_geojson(t.spark, path, "struct<id bigint, lc_name string>", collection=False)
+
+
+@query(
+    "csv_written",
+    """SELECT id, lc_name, x, y FROM v_points""",
+)
+def csv_written(t: Tables) -> DataFrame:
+    """Points written as CSV and read back by their schema."""
+    from fieldloom.session import new_folder
+    from fieldloom.sources.files import read_csv, write_csv
+
+    path = new_folder(t.spark, "csv")
+    points = V.points(t).select("id", "lc_name", "x", "y")
+    write_csv(points, path)
+    return read_csv(t.spark, path, points.schema)
+
+
+@query(
+    "tiles_written",
+    """SELECT "row", col, round(value, 6) AS value, CAST("row" // 50 * 2 + col // 50 AS INTEGER) AS tile, CAST(col % 2 AS INTEGER) AS band FROM v_px""",
+)
+def tiles_written(t: Tables) -> DataFrame:
+    """Pixels written by band and tile, the first tile a second time, and read back: touched folders only are replaced."""
+    from fieldloom.session import new_folder
+    from fieldloom.sources.files import read_parquet, write_tiles
+
+    path = new_folder(t.spark, "tiles")
+    tile = F.floor(F.col("row") / 50) * 2 + F.floor(F.col("col") / 50)
+    tiles = V.pixels(t).withColumn("tile", tile.cast("int")).withColumn("band", (F.col("col") % 2).cast("int"))
+    write_tiles(tiles, path)
+    write_tiles(tiles.where("tile = 0"), path)
+    return read_parquet(t.spark, path).select(*tiles.columns)
