@@ -19,16 +19,13 @@ def _slices(df: DataFrame) -> int:
 def sample_per_class(df: DataFrame, label: str, key: str, n: int, seed: int = 1) -> DataFrame:
     """``n`` random rows of each class, all of them if the class is smaller.
 
-    The window limit keeps at most ``n`` rows per class and input task before the
-    shuffle (up to the engine's threshold); above it a salted first cut does the same.
+    A first cut takes ``n`` of each class and salt, so no class is sorted by one task, whatever ``n`` is.
     """
     drawn = df.where(F.col(label).isNotNull()).withColumn("_draw", draw(seed, key))
     order = [F.col("_draw"), F.col(key)]
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > threshold:
-        salted = drawn.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(_slices(df))))
-        first = Window.partitionBy(label, "_salt").orderBy(*order)
-        drawn = salted.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= n).drop("_salt", "_nth")
+    salted = drawn.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(_slices(df))))
+    first = Window.partitionBy(label, "_salt").orderBy(*order)
+    drawn = salted.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= n).drop("_salt", "_nth")
     nth = F.row_number().over(Window.partitionBy(label).orderBy(*order))
     return drawn.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_draw", "_nth")
 
