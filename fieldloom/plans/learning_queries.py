@@ -240,6 +240,28 @@ def random_search(t: Tables) -> DataFrame:
     return trials.select("number", "value", "classifier", F.to_json("params").alias("params"))
 
 
+GRID = {"max_depth": [4, 8], "n_estimators": [10, 20], "criterion": ["gini"]}
+
+
+@query("grid_search")
+def grid_search(t: Tables) -> DataFrame:
+    """All combinations of the grid, over group-stratified folds."""
+    rows, _ = _rows(t)
+    trials = L.grid_search(rows, "id", "lc_name", "field_id", "RandomForest", GRID, weight="Field_size")
+    return trials.select("number", "value", "classifier", F.to_json("params").alias("params"))
+
+
+@query("best_estimator")
+def best_estimator(t: Tables) -> DataFrame:
+    """Trials saved and read back; the best one's classifier fitted on all rows, its prediction of each."""
+    rows, _ = _rows(t)
+    folder = new_folder(rows.sparkSession, "trials")
+    grid = {"max_depth": [4, 8], "n_estimators": [10]}
+    L.save_trials(L.grid_search(rows, "id", "lc_name", "field_id", "RandomForest", grid, weight="Field_size"), folder, "forest")
+    best = L.best_classifier(L.load_trials(rows.sparkSession, folder, "forest"), "RandomForest", weight="Field_size")
+    return best.fit(rows).transform(rows).select("id", "lc", F.col("prediction").cast("int").alias("prediction"))
+
+
 @query("tree_attribution")
 def tree_attribution(t: Tables) -> DataFrame:
     rows, _ = _rows(t)
