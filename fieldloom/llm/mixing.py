@@ -49,8 +49,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, share=SHARE,
 def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHTS, tilts=TILTS, repeats: int = MOST_REPEATS) -> DataFrame:
     """One row per document: doc_id, text_key, source, size, source_size, target, taken, copies.
 
-    ``copies`` holds a struct (position, words) for each time the mix takes the document: ``position`` is its
-    place in the run, in words of the whole mix; ``words`` is its size, as copies are taken whole. The one copy of a
+    ``copies`` holds a struct (position, words, place) for each time the mix takes the document: ``position`` is where
+    it is due, in words of the whole mix; ``words`` is its size, as copies are taken whole; ``place`` is its number in the
+    run, from 0, which a range sort of all copies by position gives (see ``placed``). The one copy of a
     source at which the target is met is taken if that ends nearer to the target than leaving it out, so a source
     misses its target by half a document at most. Sizes are words between white space; null or empty texts
     have none and are never taken. Null sources are one source, the last; null or repeated ids are documents
@@ -100,13 +101,32 @@ def mix(docs: DataFrame, seed: str = "mix", share: float = SHARE, weights=WEIGHT
     rounds = F.sequence(F.lit(0).cast("long"), F.lit(math.ceil(repeats) - 1).cast("long"))
     copies = F.filter(F.transform(rounds, lambda k: F.struct(position(k).alias("position"), words_of(k).alias("words"))), lambda c: c["words"] > 0)
     taken = F.aggregate(F.transform(rounds, words_of), F.lit(0).cast("long"), lambda a, w: a + w)
-    return rows.select(
+    return placed(rows.select(
         "doc_id", "text_key", "source", "size", "source_size", "target", taken.alias("taken"), F.when(F.col("size") > 0, copies).otherwise(F.array().cast("array<struct<position:double,words:bigint>>")).alias("copies")
-    )
+    ))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the place of each copy in the run: copies are range-sorted by position and numbered.
+
+    Equal positions go by source, document and text. A copy's number is its row in its range and the rows of the
+    ranges before, so no window runs over the copies; texts take no part.
+    """
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    line = rows.select("_row", "source", "doc_id", "text_key", F.posexplode("copies").alias("_nth", "_copy"))
+    line = line.sort("_copy.position", "source", "doc_id", "text_key", "_nth", "_row").select("_row", "_nth", "_copy", F.monotonically_increasing_id().alias("_at"))
+    line = cut(line, "run").withColumn("_range", F.shiftright("_at", 33))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = line.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0).cast("long")).alias("_start"))
+    numbered = line.join(F.broadcast(starts), "_range").withColumn("_place", F.col("_start") + F.col("_at") - F.shiftleft("_range", 33))
+    copy = F.struct("_nth", F.col("_copy.position").alias("position"), F.col("_copy.words").alias("words"), F.col("_place").alias("place"))
+    lists = numbered.groupBy("_row").agg(F.array_sort(F.collect_list(copy)).alias("_run"))
+    run = F.transform(F.coalesce("_run", F.array().cast(lists.schema["_run"].dataType)), lambda c: F.struct(c["position"].alias("position"), c["words"].alias("words"), c["place"].alias("place")))
+    return rows.join(lists, "_row", "left").withColumn("copies", run).drop("_row", "_run")
 
 
 def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents in the order of training: every copy that ``mix`` takes, range-sorted by position.
+    """The documents in the order of training: every copy that ``mix`` takes, range-sorted by its place.
 
     All columns of ``docs`` are kept as they are. Rows repeated with the same id and text each count once for each
     of their own rows.
@@ -120,4 +140,4 @@ def training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     right = right.where("taken > 0").select("doc_id", "text_key", F.col("source").alias("s2"), "nth2", F.explode("copies").alias("copy"))
     on = left["d"].eqNullSafe(right["doc_id"]) & (left["k"] == right["text_key"]) & left["s"].eqNullSafe(right["s2"]) & (left["nth"] == right["nth2"])
     both = left.join(right, on)
-    return both.sort(F.col("copy.position")).select(*[F.col("row").getField(c).alias(c) for c in columns])
+    return both.sort(F.col("copy.place")).select(*[F.col("row").getField(c).alias(c) for c in columns])

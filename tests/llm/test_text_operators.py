@@ -355,6 +355,16 @@ def test_mix_meets_targets(spark, folder):
     assert 0 <= places[0][0] and places[-1][0] <= total * (1 + 1e-9)
 
 
+def test_mix_numbers_the_sorted_run(spark):
+    """Every copy has its place in the range-sorted run, whatever the layout of the rows."""
+    docs = spark.createDataFrame([(i % 97, "w " * (1 + i % 7), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    for parts in (1, 9):
+        rows = mixing.mix(docs.repartition(parts)).collect()
+        run = sorted((c.place, c.position) for r in rows for c in r.copies)
+        assert [p for p, _ in run] == list(range(len(run))) and len(run) > 600
+        assert all(a[1] <= b[1] for a, b in zip(run, run[1:]))
+
+
 def test_border_copy_is_whole(spark):
     docs = spark.createDataFrame([(i, "w " * (5 + i), "ab"[i % 2]) for i in range(9)] + [(9, "w " * 400, "a")], "doc_id long, text string, source string")
     for share in (0.1, 0.3, 0.7, 1.0, 1.9, 2.0):
