@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import pixel_of
+from fieldloom.operators.scale import join_side
 from fieldloom.session import reliable
 
 SHADOW_STEPS = 20
@@ -54,7 +55,8 @@ def disc_pixels(points: DataFrame, key: str, radius: str, x0: float, y0: float,
 def disc_pixel_join(
     points: DataFrame, pixels: DataFrame, key: str, radius: str, x0: float, y0: float, size: float
 ) -> DataFrame:
-    return disc_pixels(points, key, radius, x0, y0, size).join(pixels, ["row", "col"])
+    """The pixels in each disc; the cells of the discs are never broadcast."""
+    return disc_pixels(points, key, radius, x0, y0, size).join(join_side(pixels), ["row", "col"])
 
 
 def bbox_filter(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import sampling as P
 from fieldloom.operators import grid as R
 from fieldloom.operators import tables as T
-from fieldloom.operators.scale import add_slice, group_median, group_quantiles, number_rows, pin_small, slice_bounds
+from fieldloom.operators.scale import add_slice, group_median, group_quantiles, join_side, number_rows, pin_small, slice_bounds
 from fieldloom.plans import views as V
 from fieldloom.plans.registry import Tables
 from fieldloom.plans.series_queries import ts_feature_table
@@ -169,6 +169,24 @@ def test_no_nested_loops(spark, folder):
         assert "NestedLoop" not in text and "Cartesian" not in text, name
 
 
+def test_written_out_rows_are_not_broadcast(spark, folder):
+    """Cells of discs and polygons and pieces of paths come from few rows and are many: the other side goes out."""
+    from __spark_entry__ import queries
+
+    for name in ("disc_pixel_join", "polygon_pixel_join", "substring_join", "substring_join_ranked"):
+        text = plan(queries()[name](spark, folder))
+        assert "BuildLeft" not in text and "BuildRight" in text, name
+
+
+def test_join_side_of_any_size(spark):
+    many = spark.range(4).select(F.explode(F.sequence(F.lit(0), F.col("id"))).alias("k"))
+    few = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (None, "d")], "k long, v string")
+    for most in (100, 3):
+        joined = many.join(join_side(few, most), "k")
+        assert sorted((r.k, r.v) for r in joined.collect()) == [(0, "a")] * 4 + [(0, "b")] * 4 + [(3, "c")]
+        assert ("Broadcast" in plan(joined)) == (most == 100)
+
+
 def test_flagship_has_no_python(spark, folder):
     text = plan(ts_feature_table(Tables(spark, folder)))
     assert "Python" not in text and "Pandas" not in text
