@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.operators.scale import add_slice, number_rows, pin_small, slice_bounds
+from fieldloom.operators.scale import add_slice, join_side, number_rows, pin_small, slice_bounds
 from fieldloom.session import reliable
 
 # --- counts and shares ------------------------------------------------------
@@ -223,11 +223,11 @@ def substring_join(
 
     ``first`` keeps that many names in the order of ``rank``.  A path gives its
     pieces of each length that a name has, and those meet the names by an equality
-    join, whatever their number; only the distinct lengths reach the driver.
+    join, whatever their number; only the distinct lengths reach the driver, and the pieces are never broadcast.
     """
     if first is not None:
         names = names.orderBy(rank, name).limit(first)
-    names = names.select(name)
+    names = join_side(names.select(name))
     lengths = [r[0] for r in names.select(F.length(name)).distinct().na.drop().collect()]
     none = F.array().cast("array<string>")
 
@@ -237,6 +237,7 @@ def substring_join(
 
     parts = F.array_distinct(F.concat(none, *[pieces(n) for n in lengths]))
     hits = paths.select(path, F.explode(parts).alias(name)).join(names, name).select(name, path)
+    # found names are no more than the names themselves
     missing = names.join(hits.select(name).distinct(), name, "left_anti")
     return hits.unionByName(missing, allowMissingColumns=True)
 
