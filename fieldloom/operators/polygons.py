@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from fieldloom.operators.grid import joined_runs
+from fieldloom.operators.scale import join_side
 
 POLYGON, MULTI = 3, 6
 #: Pixel rows that one edge, and columns that one run, are written out by at a time.
@@ -129,5 +130,5 @@ def polygon_pixels(polygons: DataFrame, key: str, geometry: str, x0: float, y0:
 
 
 def polygon_pixel_join(polygons: DataFrame, pixels: DataFrame, key: str, geometry: str, x0: float, y0: float, size: float) -> DataFrame:
-    """The pixels under each polygon: an equality join on the cell, whose many-row side can be split."""
-    return polygon_pixels(polygons, key, geometry, x0, y0, size).join(pixels, ["row", "col"])
+    """The pixels under each polygon: an equality join on the cell; the cells of the polygons are never broadcast."""
+    return polygon_pixels(polygons, key, geometry, x0, y0, size).join(join_side(pixels), ["row", "col"])
