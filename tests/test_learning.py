@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fieldloom.ml import attribution as A
+from fieldloom.ml import forests, kernels
 from fieldloom.ml import models as L
 from fieldloom.ml import outliers as O
 from fieldloom.ml import prep
@@ -65,6 +66,59 @@ def test_scores_and_rounds(training):
     assert {r[0] for r in out.select("matching_percentage").distinct().collect()} <= {0.0, 50.0, 100.0}
 
 
+@pytest.mark.parametrize("few", [16_384, 40])
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_forest_grows_to_the_end(training, monkeypatch, few, criterion):
+    """Nodes that are summed and nodes that are grown from their rows give trees of the same kind, whole and consistent."""
+    table, _ = training
+    monkeypatch.setattr(forests, "FEW", few)
+    model = L.classifier("RandomForest", {"n_estimators": 6, "max_depth": 30, "criterion": criterion}, weight="w").fit(table)
+    out = model.transform(table).select("id", "lc", "prediction", vector_to_array("probability").alias("p")).collect()
+    assert len(out) == 360 and sum(r.lc == r.prediction for r in out) > 340
+    assert all(sum(r.p) == pytest.approx(1) and r.p[int(r.prediction)] == max(r.p) for r in out)
+    trees = {}
+    for r in model.node_table().collect():
+        assert r.id not in trees.setdefault(r.tree, {})
+        trees[r.tree][r.id] = r
+    assert len(trees) == 6 and any(t.feature[0] >= 0 for t in model.tops) == (few == 40)
+    for nodes in trees.values():
+        below = {0}
+        ends = [sum(v > 0 for v in r.stats) for r in nodes.values() if r.left < 0]
+        assert ends.count(1) > 0.7 * len(ends)
+        for r in nodes.values():
+            if r.left >= 0:
+                below |= {r.left, r.right}
+                assert [a + b for a, b in zip(nodes[r.left].stats, nodes[r.right].stats)] == pytest.approx(r.stats)
+        assert below == set(nodes)
+
+
+def test_grown_root_split_is_the_best():
+    rng = np.random.default_rng(1)
+    bins, label = rng.integers(0, 9, (200, 3)).astype(np.uint8), rng.integers(0, 3, 200)
+    count, weight = rng.integers(1, 3, 200).astype(np.uint8), rng.random(200)
+    s = forests.ForestSettings(depth=1, least=4, subset="all")
+    tree = forests.grow(bins, label, count, weight, 3, s, 0, (0, 0))
+
+    def impurity(rows):
+        mass = np.bincount(label[rows], (count * weight)[rows], 3)
+        return mass.sum() - (mass**2).sum() / mass.sum()
+
+    sides = [(bins[:, f] <= b, f, b) for f in range(3) for b in range(8)]
+    fits = [(impurity(m) + impurity(~m), f, b) for m, f, b in sides if min(count[m].sum(), count[~m].sum()) >= 4]
+    assert (tree.feature[0], tree.bin[0]) == min(fits)[1:] and len(tree.feature) == 3
+
+
+def test_kernel_features_are_made_in_slices(spark, monkeypatch):
+    """A task never holds the mapped rows of a whole batch; the features are those of one pass."""
+    made = kernels.fourier_features(np.arange(30.0).reshape(10, 3) / 10, 0.5, 16, 1)
+    monkeypatch.setattr(kernels, "SLICE", 4)
+    parts = list(kernels.mapped_slices(np.arange(30.0).reshape(10, 3) / 10, "rbf", 0.5, 2, 16, 1))
+    assert [len(p) for p in parts] == [4, 4, 2] and np.allclose(np.concatenate(parts), made)
+    rows = spark.createDataFrame([(i, [float(i), 1.0, 0.5]) for i in range(50)], "id int, x array<double>").coalesce(1)
+    out = rows.select("id", kernels.kernel_features(F.col("x"), "rbf", 0.5, 2, 16, 1).alias("k")).orderBy("id").collect()
+    assert np.allclose([r.k for r in out], kernels.fourier_features(np.array([[i, 1.0, 0.5] for i in range(50)]), 0.5, 16, 1))
+
+
 def test_uncertain_rows_predicted_once_per_round(training):
     table, _ = training
     folded = P.stratified_folds(table, "lc_name", "id", 3, seed=1)
