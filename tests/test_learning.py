@@ -234,6 +234,27 @@ def test_attribution_of_more_nodes_than_a_task_holds(training, monkeypatch):
     assert all(parts[k] == pytest.approx(v, abs=1e-9) for k, v in whole.items())
 
 
+def test_factors_of_long_paths():
+    """A path of 18 features against the product that leaves out one feature at a time."""
+    rng = np.random.default_rng(4)
+    shares, met = rng.uniform(0.01, 0.99, 18), rng.random((18, 50)) < 0.5
+    at, weight = A.quadrature(17)
+    terms = at[:, None, None] * met + (1 - at)[:, None, None] * shares[:, None]
+    want = np.stack([np.einsum("q,qn->n", weight, np.delete(terms, j, 1).prod(1)) * (met[j] - shares[j]) for j in range(18)])
+    assert np.abs(A.path_factors(shares, met) / want - 1).max() < 1e-9
+
+
+def test_parts_of_a_forest_are_summed_as_arrays(training, monkeypatch):
+    """Rows are told apart by class and feature only after the parts of all groups of trees were added up."""
+    table, _ = training
+    monkeypatch.setattr(A, "GROUP_NODES", 20)
+    monkeypatch.setattr(A, "SLICE", 16)
+    model = L.classifier("RandomForest", {"n_estimators": 4, "max_depth": 4}).fit(table)
+    out = A.tree_attribution([model], table, "id")
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == out.select("id", "class", "feature").distinct().count() == 360 * 3 * 4
+
+
 def test_search_and_best(training, tmp_path, spark):
     table, _ = training
     space = {"RandomForest": {"max_depth": range(2, 5), "n_estimators": [3], "criterion": ["gini"]}}
