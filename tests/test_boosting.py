@@ -77,6 +77,34 @@ def test_first_round_against_a_plain_loop(table, data, monkeypatch):
         assert splits(B.fit_models(table, [B.Job(s)], draw=F.col("id"))[0]) == splits(model), (few, room)
 
 
+def test_rounds_of_few_rows_come_from_few_jobs(table, monkeypatch):
+    """A table of few rows asks for many rounds at once; the models are those of a job for each round."""
+    jobs = [B.Job(B.Settings(n_estimators=9, num_leaves=5, bagging_fraction=0.7, bagging_freq=2, max_depth=3), 0), B.Job(B.Settings(n_estimators=30, learning_rate=0.9, patience=3, metrics=B.METRICS), 1)]
+    asked = []
+    ask = B.ask
+    monkeypatch.setattr(B, "ask", lambda *a: asked.append(a) or ask(*a))
+    monkeypatch.setattr(B, "ROUNDS", 4)
+    monkeypatch.setattr(B, "KEEP", 2)
+    few = B.fit_models(table, jobs, fold="fold", weight="w", draw=F.col("id"))
+    assert not asked
+    monkeypatch.setattr(B, "WHOLE", 0)
+    each = B.fit_models(table, jobs, fold="fold", weight="w", draw=F.col("id"))
+    assert len(asked) >= 9
+    for a, b in zip(few, each):
+        assert splits(a) == splits(b) and len(a.history) == len(b.history) == len(a.rounds)
+        assert [h["multi_logloss"] for h in a.history] == pytest.approx([h["multi_logloss"] for h in b.history])
+
+
+def test_a_tree_of_middling_rows_is_one_job(spark, monkeypatch):
+    """Above 65,536 rows a round took a job for each level of its trees; up to FEW rows it is one."""
+    df = spark.range(70_000).select("id", (F.xxhash64("id") % 2 + F.col("id") % 2 > 0).cast("int").alias("lc"), F.array((F.col("id") % 97).cast("double"), (F.col("id") % 2).cast("double")).alias("x"))
+    asked = []
+    ask = B.ask
+    monkeypatch.setattr(B, "ask", lambda *a: asked.append(a) or ask(*a))
+    model = fit(df, n_estimators=2, num_leaves=8)
+    assert len(model.rounds) == 2 and len(asked) == 3  # one a round, and one for the last round's held-out rows
+
+
 def below(tree, n):
     if tree.feature[n] < 0:
         return [n]
