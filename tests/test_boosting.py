@@ -199,6 +199,15 @@ def test_margin_parts_add_up(spark, table, data):
     assert plan.count("Exchange") <= 1  # the fixture's own repartition
 
 
+def test_a_table_in_one_file_is_explained_by_all_cores(spark, table, tmp_path):
+    model = fit(table, n_estimators=2)
+    table.select("x").coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    out = A.margin_importance([model], one, ["a", "b", "c", "d"], "x")
+    assert f"RoundRobinPartitioning({spark.sparkContext.defaultParallelism})" in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["feature"] for r in out.collect()} == {"a", "b", "c", "d"}
+
+
 def test_base_is_the_mean_margin(table, data):
     model = fit(table, n_estimators=5)
     assert A.margin_base(model) == pytest.approx(model.margins(data[0]).mean(0))
