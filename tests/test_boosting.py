@@ -95,6 +95,33 @@ def test_rounds_of_few_rows_come_from_few_jobs(table, monkeypatch):
         assert [h["multi_logloss"] for h in a.history] == pytest.approx([h["multi_logloss"] for h in b.history])
 
 
+def test_many_rounds_of_middling_tables_come_from_few_jobs(table, monkeypatch):
+    """Above WHOLE rows each of up to 10,000 rounds took a job; many rounds now come in jobs of ROUNDS, with the same trees."""
+    jobs = [B.Job(B.Settings(n_estimators=B.MANY, learning_rate=0.9, num_leaves=6, patience=3, metrics=B.METRICS), i) for i in (0, 1)]
+    asked = []
+    ask = B.ask
+    monkeypatch.setattr(B, "ask", lambda *a: asked.append(a) or ask(*a))
+    monkeypatch.setattr(B, "WHOLE", 0)
+    few = B.fit_models(table, jobs, fold="fold", draw=F.col("id"), bins=8)
+    assert not asked
+    monkeypatch.setattr(B, "PAIRED", 1)  # 128 rows at 8 bins
+    paired = B.fit_models(table, jobs, fold="fold", draw=F.col("id"), bins=8)
+    monkeypatch.setattr(B, "MANY", B.MANY + 1)
+    each = B.fit_models(table, jobs, fold="fold", draw=F.col("id"), bins=8)
+    assert len(asked) > 3
+    for a, b, c in zip(few, each, paired):
+        assert len(a.rounds) > 3 and splits(a) == splits(b) == splits(c)
+
+
+@pytest.mark.parametrize("features", (1, 4, 5))
+def test_sums_of_feature_pairs(features):
+    rng = np.random.default_rng(7)
+    bins, g, rows = rng.integers(0, 16, (500, features)).astype(np.uint8), rng.normal(size=500), np.arange(0, 500, 2)
+    sums = B.pair_sums(B.pairs_of(bins, 16), (g, None), rows, features, 16)
+    for f in range(features):
+        assert sums[0, f] == pytest.approx(np.bincount(bins[rows, f], g[rows], 16)) and (sums[1, f] == np.bincount(bins[rows, f], minlength=16)).all()
+
+
 def test_a_tree_of_middling_rows_is_one_job(spark, monkeypatch):
     """Above 65,536 rows a round took a job for each level of its trees; up to FEW rows it is one."""
     df = spark.range(70_000).select("id", (F.xxhash64("id") % 2 + F.col("id") % 2 > 0).cast("int").alias("lc"), F.array((F.col("id") % 97).cast("double"), (F.col("id") % 2).cast("double")).alias("x"))
@@ -111,6 +138,26 @@ def below(tree, n):
     return below(tree, tree.left[n]) + below(tree, tree.right[n])
 
 
+@pytest.mark.parametrize("bits", (2, 10))
+def test_parts_by_tables_of_outcomes(table, data, bits, monkeypatch):
+    """Tables of the splits' outcomes give what a product for each leaf gives; models that grew on share their rounds."""
+    monkeypatch.setattr(A, "BITS", bits)
+    whole = fit(table, n_estimators=6, num_leaves=9)
+    other = fit(table, held=0, fold="fold", n_estimators=3, num_leaves=9)
+    models = [whole, whole.until(2), other]
+    assert A.model_chains(models) == [[1, 0], [2]]
+    columns = np.ascontiguousarray(data[0].T)
+    for k in range(CLASSES):
+        for m, parts in zip(models, A.class_parts(columns, models, k)):
+            assert np.abs(parts.T - A.margin_parts(data[0], A.class_leaves(m))[:, k]).max() < 1e-12
+    tree = whole.rounds[0][0]
+    assert (tree.places(np.searchsorted(np.arange(8), data[0]).T.astype(np.uint8)) == tree.walk(np.searchsorted(np.arange(8), data[0]), tree.bin)).all()
+    known = {r["feature"]: r for r in A.margin_importance(models, table, ["a", "b", "c", "d"], "x").collect()}
+    monkeypatch.setattr(A, "LOOKED_UP", 1)
+    for r in A.margin_importance(models, table, ["a", "b", "c", "d"], "x").collect():
+        assert r["mean_importance"] == pytest.approx(known[r["feature"]]["mean_importance"]) and r["max_importance"] == pytest.approx(known[r["feature"]]["max_importance"])
+
+
 def test_models_share_passes_and_layout_does_not_matter(table, monkeypatch):
     monkeypatch.setattr(B, "KEEP", 3)
     jobs = [B.Job(B.Settings(n_estimators=7, num_leaves=5), 0), B.Job(B.Settings(n_estimators=4, bagging_fraction=0.6, bagging_freq=2, max_depth=2), 2)]
