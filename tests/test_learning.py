@@ -92,6 +92,37 @@ def test_forest_grows_to_the_end(training, monkeypatch, few, criterion):
         assert below == set(nodes)
 
 
+@pytest.mark.parametrize("least", (1, 3))
+def test_cuts_by_cells_and_by_sorted_rows_are_the_same(monkeypatch, least):
+    """Sums of cells, running sums of sorted rows and columns of classes find the same cuts; broken weights take the last."""
+    rng = np.random.default_rng(2)
+    bins, label = rng.integers(0, 20, (700, 6)).astype(np.uint8), rng.integers(0, 4, 700)
+    count, s = rng.integers(1, 4, 700).astype(np.uint8), forests.ForestSettings(depth=30, least=least)
+    found = []
+    for cells, weight in ((0, 4.0), (8, 4.0), (1 << 20, 4.0), (8, 4.0 / 3)):
+        monkeypatch.setattr(forests, "CELLS", cells)
+        found.append(forests.grow(bins, label, count, np.full(700, weight), 4, s, 0, (0, 0)))
+    for tree in found[1:3]:
+        assert all(np.array_equal(getattr(tree, k), getattr(found[0], k)) for k in ("feature", "bin", "left", "right", "stats"))
+    assert found[3].feature[0] == found[0].feature[0] and found[3].bin[0] == found[0].bin[0]
+    assert len(found[0].feature) > 100
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_forests_of_folds_meet_the_table_without_a_shuffle(spark, training, monkeypatch, criterion):
+    """A fit and a transform a fold stored and shuffled every tree; a product with the table gives the same predictions."""
+    table, _ = training
+    odd = table.withColumn("w", F.when(F.col("id") % 7 > 0, F.col("w"))).withColumn("lc", F.when(F.col("id") % 11 > 0, F.col("lc")))
+    make = lambda: L.classifier("RandomForest", {"n_estimators": 4, "max_depth": 30, "criterion": criterion}, weight="w")
+    made = []
+    monkeypatch.setattr(L, "held_rounds", lambda *a: made.append(forests.held_rounds(*a)) or made[-1])
+    few = L.round_predictions(odd, make, "id", "lc_name", 2, 3).collect()
+    assert made[0] is not None
+    monkeypatch.setattr(forests, "WHOLE", 0)
+    each = L.round_predictions(odd, make, "id", "lc_name", 2, 3).collect()
+    assert made[1] is None and len(few) == 720 and set(map(tuple, few)) == set(map(tuple, each))
+
+
 def test_grown_root_split_is_the_best():
     rng = np.random.default_rng(1)
     bins, label = rng.integers(0, 9, (200, 3)).astype(np.uint8), rng.integers(0, 3, 200)
