@@ -253,6 +253,23 @@ def test_importance_equals_the_long_reduction(training):
             assert short[COLUMNS[r["feature"]]][how] == pytest.approx(r[how])
 
 
+@pytest.mark.parametrize("few", [16_384, 40])
+def test_importance_without_a_shuffle_of_parts(training, monkeypatch, few):
+    """The parts of every group of trees and block of rows went to disk; where they are many, a task now sums them up."""
+    table, _ = training
+    monkeypatch.setattr(forests, "FEW", few)  # 40: nodes of many rows stand above the subtrees
+    models = [L.classifier("RandomForest", {"n_estimators": 4, "max_depth": 30, "max_features": "all"}, seed, "w").fit(table) for seed in (1, 2)]
+    known = {r["feature"]: r for r in A.attribution_importance(models, table, COLUMNS).collect()}
+    monkeypatch.setattr(A, "PARTS_BYTES", 0)
+    monkeypatch.setattr(A, "BLOCK", 37)
+    monkeypatch.setattr(A, "_cells", None)  # nothing is shuffled by it
+    found = A.attribution_importance(models, table.union(table.limit(0)), COLUMNS).collect()
+    assert {r["feature"] for r in found} == set(COLUMNS)
+    for r in found:
+        for how in ("mean_importance", "max_importance"):
+            assert r[how] == pytest.approx(known[r["feature"]][how], rel=1e-9)
+
+
 def test_attribution_of_more_nodes_than_a_task_holds(training, monkeypatch):
     table, _ = training
     models = [L.classifier("RandomForest", {"n_estimators": 5, "max_depth": d}).fit(table) for d in (6, 3)]
